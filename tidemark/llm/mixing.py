@@ -95,3 +95,14 @@ def mix_sources(
     return stream.select(
         F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", "shard", (F.col("rounds") * F.col("size") + part).cast("long").alias("taken")
     )
+
+
+def take_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+    """The documents of which the mix takes any words: their columns, mix_size, mix_target and mix_taken.
+
+    Rows with the same id, source and size are each taken as often as the most taken of them."""
+    mixed = mix_sources(docs, id_col, text_col, source_col, **options).where("taken > 0")
+    mixed = mixed.groupBy(F.col(id_col).alias("_id"), F.col(source_col).alias("_source"), "size").agg(F.max("target").alias("mix_target"), F.max("taken").alias("mix_taken"))
+    sized = docs.withColumn("mix_size", word_count(F.col(text_col)))
+    same = F.col(id_col).eqNullSafe(F.col("_id")) & F.col(source_col).eqNullSafe(F.col("_source")) & (F.col("mix_size") == F.col("size"))
+    return sized.join(mixed, same).drop("_id", "_source", "size")

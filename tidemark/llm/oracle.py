@@ -67,4 +67,22 @@ groups AS (SELECT t, max(doc_id) AS keep_id, count(*)::BIGINT AS group_size FROM
 SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept, sha256(t) AS text_sha256 FROM normal JOIN groups USING (t)
 """
 
-ORACLE = {"op5_mix_sources": OP5, "op6_url_rules": OP6, "op9_exact_dedup": OP9}
+OP8 = r"""
+WITH rows AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text, role AS raw_role FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok', 'user'
+  UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok', 'assistant'
+), escaped AS (
+  SELECT *, replace(replace(replace(role, '\', '\\'), '<', '\<'), '>', '\>') AS role_out, replace(replace(replace(text, '\', '\\'), '<', '\<'), '>', '\>') AS text_out FROM rows
+), whole AS (
+  SELECT conv_id, count(*)::BIGINT AS n_turns,
+    sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, raw_role NULLS FIRST, text_out)) AS turns_sha256,
+    sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END)::BIGINT AS loss_chars,
+    sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn NULLS FIRST, raw_role NULLS FIRST, text_out), '')) AS loss_sha256,
+    sum(length('<turn >') + length(role_out) + length(text_out) + length('</turn>') + 1)::BIGINT AS formatted_chars
+  FROM escaped GROUP BY conv_id
+)
+SELECT * FROM whole
+"""
+
+ORACLE = {"op5_mix_sources": OP5, "op6_url_rules": OP6, "op8_chat_format": OP8, "op9_exact_dedup": OP9}

@@ -12,7 +12,7 @@ bigrams, with their counts in training documents, to slices by hash; a slice add
 the totals of what it sent, in the same order: no token is shuffled, only distinct keys of a group, and no model is
 gathered anywhere. (3) Groups meet their totals and write per-token counts; histogram and scores are read off that.
 
-Scale. A slice holds the keys of about `slice_bytes` of text, a group about `group_tokens` words, so memory is bounded by these two. A word
+Scale. A slice holds the keys of about `slice_bytes` of text, a group about `group_bytes` of text, so memory is bounded by these two. A word
 that fills the corpus is one key per group. Keys are 64-bit hashes. With executors of more memory, raise both: the number of
 pieces in the exchange is groups times slices.
 
@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize
-from .packing import byte_words, pack_documents, squeeze, unsqueeze
+from .packing import SPACED, as_vocabulary, ascii_lower_bytes, finish, pack_documents, squeeze, unsqueeze
 
 END, BEGIN = np.uint64(0x6A09E667F3BCC909), np.uint64(0xBB67AE8584CAA73B)  # keys of the end and of the place before a text
 STEPS = 8  # of the histogram, per octave
@@ -39,11 +39,7 @@ FLOOR = 1e-6  # least weight of the uniform estimate
 
 def mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """64-bit keys of pairs (the splitmix64 finaliser over a combination of both)."""
-    with np.errstate(over="ignore"):
-        x = a * np.uint64(0x9E3779B97F4A7C15) + (b ^ (b >> np.uint64(29)))
-        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        return x ^ (x >> np.uint64(31))
+    return finish(a * np.uint64(0x9E3779B97F4A7C15) + (b ^ (b >> np.uint64(29))))
 
 
 class Group:
@@ -199,11 +195,11 @@ def fit_weights(bucket: np.ndarray, two: np.ndarray, one: np.ndarray, weight: np
     return weights
 
 
-def lm_scores(docs: DataFrame, training, id_col: str = "doc_id", text_col: str = "text", group_tokens: int = 1 << 20, slice_bytes: int = 24 << 20) -> DataFrame:
+def lm_scores(docs: DataFrame, training, id_col: str = "doc_id", text_col: str = "text", group_bytes: int = 6 << 20, slice_bytes: int = 24 << 20) -> DataFrame:
     """One row per document: id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_token.
 
     training: a boolean column, true for the documents to learn from."""
-    packed = pack_documents(docs, id_col, text_col, "lm-packed", byte_words, F.coalesce(training, F.lit(True)), group_tokens)
+    packed = pack_documents(docs, id_col, text_col, "lm-packed", SPACED, ascii_lower_bytes, as_vocabulary, F.coalesce(training, F.lit(True)), group_bytes)
     size = docs.agg(F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0))).first()[0]
     n_slices = max(1, -(-size // slice_bytes))
     totals = _send(packed, n_slices).groupBy("kind", "slice").applyInArrow(_add_up, "kind string, slice int, group string, totals binary, distinct long, tokens long")

@@ -11,9 +11,9 @@ bits; a pair beyond the budget is pruned. Sorted arrays serve as tries (a node i
 partition step down together in numpy. Pairs of small nodes are compared directly.
 
 Similarity search. Texts that share 0.8 of their shingles differ in about 15 % of the bits, far more than a budget that a trie
-can prune by. For them, each 32-bit half of a wide fingerprint is searched with its own trie and a budget of 3; a pair
-that any half brings together is compared on the whole fingerprint, and linked if the share of differing bits says that
-the texts are as similar as asked for.
+can prune by. For them, parts of 32 bits of a wide fingerprint (each 16 bits in two parts) are searched with tries of their own
+and a budget of 3; a pair that any part brings together is compared on the whole fingerprint, and linked if the share of
+differing bits says that the texts are as similar as asked for.
 
 Links. A group of m fingerprints may have m * m / 2 links; only a spanning forest of the links found in a cell leaves
 the task (at most m - 1 links), which has the same components. Members of a crowded node are compared with a pivot
@@ -43,9 +43,11 @@ from .common import lookup_join, materialize
 LEAF_PAIRS = 32
 #: Nodes whose members have the same searched bits go through a pivot from this many pairs on.
 PIVOT_PAIRS = 4096
-#: 64-bit words of a wide fingerprint, searched in twice as many halves.
+#: 64-bit words of a wide fingerprint.
 WIDE_WORDS = 5
-HALF_BUDGET = 3
+#: Parts of a wide fingerprint that are searched, as pairs of 16-bit pieces, and how many bits may differ in a part.
+WIDE_PARTS = [(k, k + 1) for k in range(0, 4 * WIDE_WORDS, 2)] + [(k, (k + 3) % (4 * WIDE_WORDS)) for k in range(0, 4 * WIDE_WORDS, 2)]
+PART_BUDGET = 3
 
 Near = Callable[[np.ndarray, np.ndarray], np.ndarray]
 
@@ -211,13 +213,14 @@ class Forest:
         return member, self.parent[member]
 
 
-def near_links(prints: DataFrame, budget: int, words: int = 1, width: int = 64, differing: int | None = None, cell_rows: int = 200_000) -> DataFrame:
+def near_links(prints: DataFrame, budget: int, words: int = 1, parts: list[tuple[int, ...]] | None = None, differing: int | None = None, cell_rows: int = 200_000) -> DataFrame:
     """(a, b) links between distinct fingerprints (column fp): spanning forests that have all links' components.
 
-    Each part of `width` bits is searched with `budget`; differing: the most bits in which whole fingerprints may differ
-    (the budget if there is one part)."""
+    parts: 16-bit pieces of the fingerprint that make up each searched part (by default the whole of one word); each is
+    searched with `budget`. differing: the most bits in which whole fingerprints may differ (the budget if there is one part)."""
     differing = budget if differing is None else differing
-    n_parts, ones = 64 * words // width, np.uint64(0xFFFFFFFFFFFFFFFF)
+    parts = parts or [tuple(range(4 * words))]
+    width, ones = 16 * len(parts[0]), np.uint64(0xFFFFFFFFFFFFFFFF)
     cuts = [width * k // (budget + 1) for k in range(budget + 2)]
     least = min(b - a for a, b in zip(cuts, cuts[1:], strict=False))
 
@@ -226,10 +229,10 @@ def near_links(prints: DataFrame, budget: int, words: int = 1, width: int = 64,
         for batch in batches:
             raw = batch.column(0)
             wide = np.frombuffer(b"".join(raw.to_pylist()), ">u8").reshape(-1, words).astype(np.uint64)
-            for part in range(n_parts):
-                word, shift = divmod(part * width, 64)
-                bits = wide[:, word] << np.uint64(shift)
-                bits &= ones << np.uint64(64 - width)
+            for part, pieces in enumerate(parts):
+                bits = np.zeros(len(wide), np.uint64)
+                for at, piece in enumerate(pieces):
+                    bits |= ((wide[:, piece // 4] >> np.uint64(48 - 16 * (piece % 4))) & np.uint64(0xFFFF)) << np.uint64(48 - 16 * at)
                 for k in range(budget + 1):
                     turned = bits if not cuts[k] else ((bits << np.uint64(cuts[k])) | (bits >> np.uint64(width - cuts[k]))) & (ones << np.uint64(64 - width))
                     cell = (turned >> np.uint64(64 - least)).astype(np.int32)
@@ -335,9 +338,9 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def differing_bits(similarity: float, words: int = WIDE_WORDS) -> int:
-    """Bits in which wide fingerprints may differ: what two equally long texts with this Jaccard similarity differ in on average, and one standard deviation."""
+    """Bits in which wide fingerprints may differ: what two equally long texts with this Jaccard similarity differ in on average, and one and a half standard deviations."""
     p = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return round(64 * words * p + math.sqrt(64 * words * p * (1 - p)))
+    return round(64 * words * p + 1.5 * math.sqrt(64 * words * p * (1 - p)))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, cell_rows: int = 200_000) -> DataFrame:
@@ -346,7 +349,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Similarity is read off wide fingerprints (standard error about 0.03 at 0.8)."""
     prints = materialize(add_fingerprints(docs, id_col, text_col, shingle, words=WIDE_WORDS), "simhash-wide")
     most = differing_bits(similarity)
-    joined = _classed(prints, lambda distinct: near_links(distinct, HALF_BUDGET, WIDE_WORDS, 32, most, cell_rows))
+    joined = _classed(prints, lambda distinct: near_links(distinct, PART_BUDGET, WIDE_WORDS, WIDE_PARTS, most, cell_rows))
     return joined.select(F.col("id").alias(id_col), "component_id")
 
 

@@ -24,7 +24,7 @@ LEAST_BINS = 3
 #: A profile with more bins than this is refused.
 MOST_BINS = 5_000_000
 #: Up to this many rows, order statistics are taken by one exact aggregate; beyond it the range is narrowed first.
-EXACT_ROWS = 1_000_000
+EXACT_ROWS = 50_000
 
 
 @dataclass(frozen=True)
@@ -45,45 +45,53 @@ def quartile_ranks(n: int) -> tuple[int, int]:
     return math.floor(0.25 * n), min(math.floor(0.75 * n), n - 1)
 
 
+def _name(column: str) -> str:
+    return "`" + column.replace("`", "``") + "`"
+
+
+def _disc(column: str, rank: int, n: int, where: str = "true") -> Column:
+    """sorted(values where ...)[rank] of n values: exact, keeps their distinct values."""
+    return F.expr(f"percentile_disc({(rank + 0.5) / n!r}) WITHIN GROUP (ORDER BY {_name(column)}) FILTER (WHERE {where})")
+
+
+def order_statistics_of(df: DataFrame, wanted: dict[str, tuple[Sequence[int], int]], exact_rows: int = EXACT_ROWS) -> dict[str, list[float]]:
+    """sorted(column)[k] for ranks k of columns with n values each, exactly; wanted: column -> (ranks, n). Nulls do not count.
+
+    Few values: one aggregate, which keeps the distinct ones. More: a mergeable sketch brackets each rank, counts below the bracket
+    turn it into a rank inside, and the aggregate sees only the rows in the bracket, about a thousandth. All columns share these
+    three passes. Where a bracket still holds more than `exact_rows` values, or missed, that rank is narrowed further by itself."""
+    asked = [(c, k, n) for c, (ranks, n) in wanted.items() for k in ranks]
+    large = [x for x in asked if x[2] > exact_rows]
+    picks: dict[tuple[str, int], Column] = {(c, k): _disc(c, k, n) for c, k, n in asked if n <= exact_rows}
+    found: dict[tuple[str, int], float] = {}
+    if large:
+        margin = 1 / 2000
+        near = [F.percentile_approx(_name(c), [max(0.0, k / n - margin), min(1.0, k / n + margin)], 10_000).alias(f"b{i}") for i, (c, k, n) in enumerate(large)]
+        brackets = df.agg(*near).first()
+        counts = []
+        for i, (c, _, _) in enumerate(large):
+            value, (low, high) = F.col(_name(c)), brackets[i]
+            counts += [F.count_if(value < low).alias(f"u{i}"), F.count_if((value >= low) & (value <= high)).alias(f"i{i}")]
+        sizes = df.agg(*counts).first()
+        for i, (c, k, n) in enumerate(large):
+            (low, high), below, inside = brackets[i], sizes[2 * i], sizes[2 * i + 1]
+            if below <= k < below + inside and low == high:
+                found[c, k] = low
+            elif below <= k < below + inside <= below + exact_rows:
+                picks[c, k] = _disc(c, k - below, inside, f"{_name(c)} BETWEEN {low!r}D AND {high!r}D")
+            else:
+                found[c, k] = _by_counts(df.select(F.col(_name(c)).cast("double").alias("v")).where("v IS NOT NULL"), "v", k, n)
+    if picks:
+        found |= dict(zip(picks, df.agg(*[p.alias(f"p{i}") for i, p in enumerate(picks.values())]).first(), strict=True))
+    return {c: [found[c, k] for k in ranks] for c, (ranks, _) in wanted.items()}
+
+
 def order_statistics(df: DataFrame, column: str, ranks: Sequence[int], n: int, exact_rows: int = EXACT_ROWS) -> list[float]:
-    """sorted(column)[k] for each rank k, exactly.
-
-    Few rows: one aggregate (it keeps the distinct values). More: a mergeable sketch brackets the rank, counts below the bracket
-    turn the rank into one inside it, and only the rows in the bracket go on; each round leaves about a thousandth of
-    the rows, so no task ever keeps more than `exact_rows` values."""
-    if n <= exact_rows:
-        picked = [F.expr(f"percentile_disc({(k + 0.5) / n!r}) WITHIN GROUP (ORDER BY `{column}`)").alias(f"r{i}") for i, k in enumerate(ranks)]
-        return list(df.agg(*picked).first())
-    margin = 1 / 2000
-    fractions = [min(1.0, max(0.0, k / n + d)) for k in ranks for d in (-margin, margin)]
-    bounds = df.agg(F.percentile_approx(column, fractions, 10_000).alias("b")).first()["b"]
-    value = F.col(column)
-    counts = []
-    for low, high in zip(bounds[::2], bounds[1::2], strict=True):
-        counts += [F.count_if(value < low), F.count_if((value >= low) & (value <= high)), F.min(F.when(value > high, value)), F.max(F.when(value < low, value))]
-    found = df.agg(*[c.alias(f"c{i}") for i, c in enumerate(counts)]).first()
-    out = []
-    for i, k in enumerate(ranks):
-        below, inside = found[4 * i], found[4 * i + 1]
-        low, high = bounds[2 * i], bounds[2 * i + 1]
-        if k < below:  # the sketch was off: go on below or above the bracket
-            part, rank, size = df.where(value < low), k, below
-        elif k >= below + inside:
-            part, rank, size = df.where(value > high), k - below - inside, n - below - inside
-        elif low == high:
-            out.append(low)
-            continue
-        elif inside == n:  # many equal values on both sides: split at a value in between
-            out.append(_by_counts(df, column, k, n))
-            continue
-        else:
-            part, rank, size = df.where((value >= low) & (value <= high)), k - below, inside
-        out.append(order_statistics(part, column, [rank], size, exact_rows)[0])
-    return out
+    return order_statistics_of(df, {column: (ranks, n)}, exact_rows)[column]
 
 
 def _by_counts(df: DataFrame, column: str, rank: int, n: int) -> float:
-    """Order statistic by halving the value range with counts."""
+    """Order statistic by halving the value range with counts: some sixty passes at most, each over a column."""
     value = F.col(column)
     low, high = df.agg(F.min(value), F.max(value)).first()
     while low < high:
@@ -100,22 +108,27 @@ def _by_counts(df: DataFrame, column: str, rank: int, n: int) -> float:
     return low
 
 
+def summarise_all(df: DataFrame, rules: dict[str, QuantileType], singles: dict[str, bool], exact_rows: int = EXACT_ROWS) -> dict[str, Summary]:
+    """Summaries of several columns: one aggregation for all, and the quartiles of those whose rule needs them together."""
+    parts = [F.count("*")]
+    for c in rules:
+        value = F.col(_name(c))
+        wide = value.cast("double")
+        parts += [F.count(value), F.count_if(F.isnan(value) | (F.abs(wide) == float("inf"))), F.min(wide), F.max(wide), F.stddev_samp(wide)]
+    rows, *row = df.agg(*[p.alias(f"s{i}") for i, p in enumerate(parts)]).first()
+    stats = {c: row[5 * i : 5 * i + 5] for i, c in enumerate(rules)}
+    for c, (values, odd_values, *_) in stats.items():
+        if values < 2:
+            raise EmptyBaselineData(f"{c}: a continuous baseline needs at least two values, not {values}")
+        if odd_values:
+            raise NaNValueError(f"{c}: the baseline holds {odd_values} NaN or infinite values")
+    ranked = {c: (quartile_ranks(stats[c][0]), stats[c][0]) for c, rule in rules.items() if rule is QuantileType.FREEDMAN_DIACONIS}
+    quartiles = order_statistics_of(df.select([F.col(_name(c)).cast("double").alias(c) for c in ranked]), ranked, exact_rows) if ranked else {}
+    return {c: Summary(rows, values, low, high, deviation, tuple(quartiles[c]) if c in quartiles else None, singles[c]) for c, (values, _, low, high, deviation) in stats.items()}
+
+
 def summarise(df: DataFrame, column: str, rule: QuantileType, single: bool, exact_rows: int = EXACT_ROWS) -> Summary:
-    """One aggregation, and the quartiles if the rule needs them."""
-    value = F.col(column)
-    wide = value.cast("double")
-    odd = F.isnan(value) | (F.abs(wide) == float("inf"))
-    row = df.agg(F.count("*"), F.count(value), F.count_if(odd), F.min(wide), F.max(wide), F.stddev_samp(wide)).first()
-    rows, values, odd_values, low, high, deviation = row
-    if values < 2:
-        raise EmptyBaselineData(f"{column}: a continuous baseline needs at least two values, not {values}")
-    if odd_values:
-        raise NaNValueError(f"{column}: the baseline holds {odd_values} NaN or infinite values")
-    quartiles = None
-    if rule is QuantileType.FREEDMAN_DIACONIS:
-        present = df.where(value.isNotNull()).select(wide.alias(column))
-        quartiles = tuple(order_statistics(present, column, quartile_ranks(values), values, exact_rows))
-    return Summary(rows, values, low, high, deviation, quartiles, single)
+    return summarise_all(df, {column: rule}, {column: single}, exact_rows)[column]
 
 
 def bin_count(s: Summary, rule: QuantileType) -> int:

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from ..enums import ColumnClass, QuantileType
 from ..errors import EmptyBaselineData, InvalidDataShape
-from ..functions.binning import LEAST_BINS, bin_count, bin_edges, bin_of, summarise
+from ..functions.binning import LEAST_BINS, bin_count, bin_edges, bin_of, summarise_all
 from ..sources.schema import class_of
 
 #: Vocabularies up to this many values live on the driver and are broadcast; larger ones stay a DataFrame and are joined by shuffle.
@@ -41,14 +41,23 @@ class ContinuousBaseline:
 
     @classmethod
     def fit(cls, df: DataFrame, column: str, quantile_type: QuantileType = QuantileType.FREEDMAN_DIACONIS, nullable: bool = True) -> ContinuousBaseline:
-        """Two or three aggregations over the column: range, quartiles if the rule needs them, counts per bin."""
-        single = isinstance(df.schema[column].dataType, T.FloatType)
-        data = df.select(quoted(column).alias("value"))
-        summary = summarise(data, "value", quantile_type, single)
-        edges = bin_edges(summary.low, summary.high, bin_count(summary, quantile_type), single)
-        counts = {r["bin"]: r["n"] for r in data.groupBy(bin_of(F.col("value"), edges).alias("bin")).agg(F.count("*").alias("n")).collect()}
-        hist = [float(counts.get(b, 0)) for b in range(len(edges) + 1)]
-        return cls(edges, hist, float(summary.rows), quantile_type, float(summary.rows - summary.values), nullable)
+        """A few aggregations over the column: range, quartiles if the rule needs them, counts per bin."""
+        return cls.fit_all(df, {column: quantile_type}, nullable)[column]
+
+    @classmethod
+    def fit_all(cls, df: DataFrame, rules: dict[str, QuantileType], nullable: bool = True) -> dict[str, ContinuousBaseline]:
+        """Baselines of several columns in the same few passes."""
+        singles = {c: isinstance(df.schema[c].dataType, T.FloatType) for c in rules}
+        summaries = summarise_all(df, rules, singles)
+        edges = {c: bin_edges(s.low, s.high, bin_count(s, rules[c]), singles[c]) for c, s in summaries.items()}
+        pairs = F.array(*[F.struct(F.lit(i).alias("column"), bin_of(quoted(c), e).alias("bin")) for i, (c, e) in enumerate(edges.items())])
+        counts = df.select(F.explode(pairs).alias("x")).groupBy("x.column", "x.bin").agg(F.count("*").alias("n"))
+        found = {(r[0], r[1]): float(r[2]) for r in counts.collect()}  # a row per column and bin
+        out = {}
+        for i, (c, e) in enumerate(edges.items()):
+            s = summaries[c]
+            out[c] = cls(e, [found.get((i, b), 0.0) for b in range(len(e) + 1)], float(s.rows), rules[c], float(s.rows - s.values), nullable)
+        return out
 
     @property
     def n_bins(self) -> int:
@@ -101,15 +110,17 @@ class CategoricalBaseline:
     def fit(cls, df: DataFrame, column: str, nullable: bool = True, local_values: int = LOCAL_VALUES) -> CategoricalBaseline:
         """One aggregation by value, combined map-side. Booleans always have the bins false, true and other."""
         kind = df.schema[column].dataType
-        counts = df.groupBy(quoted(column).alias("value")).agg(F.count("*").cast("double").alias("bl"))
+        counts = df.groupBy(quoted(column).alias("value")).agg(F.count("*").cast("double").alias("bl")).persist()  # read twice
         sizes = counts.agg(F.sum("bl"), F.sum(F.when(F.col("value").isNull(), F.col("bl"))), F.count("value")).first()
         rows, nulls, distinct = sizes[0] or 0.0, sizes[1] or 0.0, sizes[2]
         if not rows or not distinct and not isinstance(kind, T.BooleanType):
+            counts.unpersist()
             raise EmptyBaselineData(f"{column}: a categorical baseline needs at least one value")
         present = counts.where(F.col("value").isNotNull())
         if distinct > local_values:
             return cls(None, None, rows, nulls, nullable, kind, present)
         found = {r["value"]: r["bl"] for r in present.collect()}
+        counts.unpersist()
         if isinstance(kind, T.BooleanType):
             found = {v: found.get(v, 0.0) for v in (False, True)}
         values = sorted(found, key=lambda v: v.encode() if isinstance(v, str) else v)

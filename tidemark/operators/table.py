@@ -25,13 +25,14 @@ class BaselineTable:
 
     @classmethod
     def fit(cls, df: DataFrame, quantile_types: dict[str, QuantileType] | None = None) -> BaselineTable:
-        """Categorical columns share one pass; each continuous column takes its own few aggregations, which read one column."""
+        """Continuous columns share a few passes (range, quartiles, counts per bin), categorical ones another."""
         rules = quantile_types or {}
         types = {f.name: f.dataType for f in df.schema.fields}
         classes = {c: class_of(t) for c, t in types.items()}
         columns: dict[str, Baseline] = {}
-        for c in [c for c, k in classes.items() if k is ColumnClass.CONTINUOUS]:
-            columns[c] = ContinuousBaseline.fit(df, c, rules.get(c, QuantileType.FREEDMAN_DIACONIS))
+        continuous = {c: rules.get(c, QuantileType.FREEDMAN_DIACONIS) for c, k in classes.items() if k is ColumnClass.CONTINUOUS}
+        if continuous:
+            columns |= ContinuousBaseline.fit_all(df, continuous)
         columns |= _fit_categorical(df, [c for c, k in classes.items() if k is ColumnClass.CATEGORICAL], types)
         return cls({c: columns[c] for c in types}, types)
 
@@ -79,12 +80,13 @@ def _as_key(value: object) -> str:
 def _fit_categorical(df: DataFrame, names: list[str], types: dict[str, T.DataType]) -> dict[str, Baseline]:
     if not names:
         return {}
-    counts = _long(df, {c: quoted(c).cast("string") for c in names}).groupBy("column", "key").agg(F.count("*").cast("double").alias("bl"))
+    counts = _long(df, {c: quoted(c).cast("string") for c in names}).groupBy("column", "key").agg(F.count("*").cast("double").alias("bl")).persist()  # read twice
     sizes = {r["column"]: r for r in counts.groupBy("column").agg(F.sum("bl").alias("rows"), F.sum(F.when(F.col("key").isNull(), F.col("bl"))).alias("nulls"), F.count("key").alias("distinct")).collect()}
     small = [c for c in names if c in sizes and sizes[c]["distinct"] <= LOCAL_VALUES]
     found: dict[str, dict] = {c: {} for c in names}
     for r in counts.where(F.col("column").isin(small) & F.col("key").isNotNull()).collect():  # LOCAL_VALUES rows a column at most
         found[r["column"]][r["key"]] = r["bl"]
+    counts.unpersist()
     out: dict[str, Baseline] = {}
     for c in names:
         if c not in sizes or not sizes[c]["distinct"] and not isinstance(types[c], T.BooleanType):

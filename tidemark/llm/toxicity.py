@@ -17,7 +17,7 @@ terms, so what is sent to executors is bounded whatever the corpus. Document fre
 documents, each text being read whole, in two passes without a shuffle of texts.
 
 Defined results. Null and empty texts have no terms. Several labels for one id: toxic if any says so; a null label is none.
-Examples with equal text count once. Without training rows of both classes every score is the share of toxic rows (0 without any)."""
+Near copies among the examples of a class (same signature) count once. Without training rows of both classes every score is the share of toxic rows (0 without any)."""
 
 from __future__ import annotations
 
@@ -28,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,6 +39,8 @@ STEMS = (4, 5, 6)
 #: Distinct words whose terms a worker remembers.
 REMEMBERED = 200_000
 K = 16
+#: Weight of the overall share in a vote: so many exact matches of the less numerous class.
+PRIOR = 0.2
 
 
 def terms_of(word: str) -> list[str]:
@@ -65,6 +68,12 @@ class TermCounter:
         return counts
 
 
+def signature(text: str | None) -> int:
+    """The smallest hash of the text's 5-word shingles: mostly the same for near copies."""
+    words = WORD.findall((text or "").lower())
+    return min(xxhash.xxh64_intdigest(" ".join(words[i : i + 5])) for i in range(max(1, len(words) - 4))) - (1 << 63)
+
+
 def vector(counts: dict[int, int], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(terms, weights) of length 1; empty if there are no terms."""
     terms = np.array(sorted(counts), np.int64)
@@ -133,7 +142,7 @@ class Classifier:
             return float(self.bare), []
         said = np.array([e for _, e in near])
         votes = np.array([s for s, _ in near]) ** 2 * self.rows[self.toxic[said].astype(int)]
-        prior = 0.05 * self.rows.min()
+        prior = PRIOR * self.rows.min()
         return float((votes @ self.toxic[said] + prior * self.share) / (votes.sum() + prior)), near
 
 
@@ -145,8 +154,11 @@ def _association(pos: int, neg: int, n_pos: int, n_neg: int) -> float:
     return g if pos * n_neg > neg * n_pos else -g
 
 
-def fit(docs: DataFrame, labels: DataFrame, training, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = 2048, max_terms: int = 4096, least_support: int = 3, least_association: float = 10.83) -> Classifier:
-    """training: a boolean column of labels' id, true for the rows to learn from."""
+def fit(docs: DataFrame, labels: DataFrame, training, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = 4096, max_terms: int = 4096, least_support: int = 3, least_precision: float = 0.5) -> Classifier:
+    """training: a boolean column of labels' id, true for the rows to learn from.
+
+    A term marks the label if most of the labelled rows that hold it are toxic (`least_precision`) and its log-likelihood ratio
+    reaches 2 ln(terms tried): with so many terms, chance alone gives high ratios."""
     rows = labels.where(training & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max(F.col(label_col).cast("int")).alias("toxic"))
     rows = rows.where(F.col("toxic").isin(0, 1))
     rows = materialize(rows, "toxic-labels")
@@ -158,7 +170,14 @@ def fit(docs: DataFrame, labels: DataFrame, training, id_col: str = "doc_id", te
     chosen = rows.where("toxic = 0").orderBy(*order).limit(sample).unionByName(rows.where("toxic = 1").orderBy(*order).limit(sample))
     chosen = materialize(chosen, "toxic-sample")  # at most 2 x sample rows
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("t")).join(F.broadcast(chosen), "_id")
-    texts = materialize(texts.groupBy(F.md5(F.coalesce("t", F.lit(""))).alias("h"), "toxic").agg(F.min_by("t", "_id").alias("t"), F.min("_id").alias("_id")), "toxic-examples")
+    kind = texts.schema["_id"].dataType.simpleString()
+
+    def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([signature(t) for t in batch.column(1).to_pylist()], pa.int64())], ["_id", "t", "toxic", "s"])
+
+    texts = texts.select("_id", "t", "toxic").mapInArrow(signed, f"_id {kind}, t string, toxic int, s long")
+    texts = materialize(texts.groupBy("s", "toxic").agg(F.min_by("t", "_id").alias("t"), F.min("_id").alias("_id")), "toxic-examples")
     n_pos, n_neg = (texts.where(f"toxic = {c}").count() for c in (1, 0))
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,8 +192,11 @@ def fit(docs: DataFrame, labels: DataFrame, training, id_col: str = "doc_id", te
             yield pa.RecordBatch.from_pydict({"term": pa.array(terms, pa.string()), "pos": pa.array([pos.get(t, 0) for t in terms], pa.int64()), "neg": pa.array([neg.get(t, 0) for t in terms], pa.int64())})
 
     counted = texts.select("t", "toxic").mapInArrow(spread, "term string, pos long, neg long").groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    lift = F.col("pos") * max(1, n_neg) / (F.col("neg") + 0.5) / max(1, n_pos)
-    likely = counted.where((F.col("pos") >= least_support) & (lift > 2)).orderBy(F.desc(F.col("pos") * F.log(lift)), "term").limit(max_terms).collect()
+    counted = materialize(counted, "toxic-terms")
+    least_association = 2 * math.log(max(2, counted.count()))
+    stands_for = [class_rows[c] / max(1, n) for c, n in ((0, n_neg), (1, n_pos))]
+    precision = F.col("pos") * stands_for[1] / (F.col("pos") * stands_for[1] + (F.col("neg") + 0.5) * stands_for[0])
+    likely = counted.where((F.col("pos") >= least_support) & (precision >= least_precision)).orderBy(F.desc(F.col("pos") * precision), "term").limit(max_terms).collect()
     vocabulary = sorted(r["term"] for r in likely if _association(r["pos"], r["neg"], n_pos, n_neg) >= least_association)
     places = {t: k for k, t in enumerate(vocabulary)}
     documents, n_docs = _document_frequencies(docs, text_col, places)
@@ -186,7 +208,6 @@ def fit(docs: DataFrame, labels: DataFrame, training, id_col: str = "doc_id", te
             found = [counter(t) for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([list(c) for c in found], pa.list_(pa.int32())), pa.array([list(c.values()) for c in found], pa.list_(pa.int64()))], ["_id", "toxic", "terms", "counts"])
 
-    kind = texts.schema["_id"].dataType.simpleString()
     vectors = texts.select("_id", "toxic", "t").mapInArrow(count, f"_id {kind}, toxic int, terms array<int>, counts array<long>").orderBy("_id", "toxic").collect()
     return Classifier(places, idf, [(r["_id"], r["toxic"], dict(zip(r["terms"], r["counts"], strict=True))) for r in vectors], class_rows)
 

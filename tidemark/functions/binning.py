@@ -54,27 +54,34 @@ def _disc(column: str, rank: int, n: int, where: str = "true") -> Column:
     return F.expr(f"percentile_disc({(rank + 0.5) / n!r}) WITHIN GROUP (ORDER BY {_name(column)}) FILTER (WHERE {where})")
 
 
-def order_statistics_of(df: DataFrame, wanted: dict[str, tuple[Sequence[int], int]], exact_rows: int = EXACT_ROWS) -> dict[str, list[float]]:
+def _bracket(column: str, share: float) -> Column:
+    """Values a little below and above a share of the column, by a mergeable sketch."""
+    margin = 1 / 2000
+    return F.percentile_approx(_name(column), [max(0.0, share - margin), min(1.0, share + margin)], 10_000)
+
+
+def order_statistics_of(
+    df: DataFrame, wanted: dict[str, tuple[Sequence[int], int]], exact_rows: int = EXACT_ROWS, brackets: dict[tuple[str, int, int], list[float]] | None = None
+) -> dict[str, list[float]]:
     """sorted(column)[k] for ranks k of columns with n values each, exactly; wanted: column -> (ranks, n). Nulls do not count.
 
     Few values: one aggregate, which keeps the distinct ones. More: a mergeable sketch brackets each rank, counts below the bracket
     turn it into a rank inside, and the aggregate sees only the rows in the bracket, about a thousandth. All columns share these
-    three passes. Where a bracket still holds more than `exact_rows` values, or missed, that rank is narrowed further by itself."""
+    three passes; the first falls away if the caller has the brackets, by (column, rank, n). Where a bracket still holds more than `exact_rows` values, or missed, that rank is narrowed further by itself."""
     asked = [(c, k, n) for c, (ranks, n) in wanted.items() for k in ranks]
     large = [x for x in asked if x[2] > exact_rows]
     picks: dict[tuple[str, int], Column] = {(c, k): _disc(c, k, n) for c, k, n in asked if n <= exact_rows}
     found: dict[tuple[str, int], float] = {}
     if large:
-        margin = 1 / 2000
-        near = [F.percentile_approx(_name(c), [max(0.0, k / n - margin), min(1.0, k / n + margin)], 10_000).alias(f"b{i}") for i, (c, k, n) in enumerate(large)]
-        brackets = df.agg(*near).first()
+        if brackets is None:
+            brackets = dict(zip(large, df.agg(*[_bracket(c, k / n).alias(f"b{i}") for i, (c, k, n) in enumerate(large)]).first(), strict=True))
         counts = []
         for i, (c, _, _) in enumerate(large):
-            value, (low, high) = F.col(_name(c)), brackets[i]
+            value, (low, high) = F.col(_name(c)), brackets[large[i]]
             counts += [F.count_if(value < low).alias(f"u{i}"), F.count_if((value >= low) & (value <= high)).alias(f"i{i}")]
         sizes = df.agg(*counts).first()
         for i, (c, k, n) in enumerate(large):
-            (low, high), below, inside = brackets[i], sizes[2 * i], sizes[2 * i + 1]
+            (low, high), below, inside = brackets[c, k, n], sizes[2 * i], sizes[2 * i + 1]
             if below <= k < below + inside and low == high:
                 found[c, k] = low
             elif below <= k < below + inside <= below + exact_rows:
@@ -115,6 +122,8 @@ def summarise_all(df: DataFrame, rules: dict[str, QuantileType], singles: dict[s
         value = F.col(_name(c))
         wide = value.cast("double")
         parts += [F.count(value), F.count_if(F.isnan(value) | (F.abs(wide) == float("inf"))), F.min(wide), F.max(wide), F.stddev_samp(wide)]
+    sketched = [c for c, rule in rules.items() if rule is QuantileType.FREEDMAN_DIACONIS]
+    parts += [_bracket(c, share) for c in sketched for share in (0.25, 0.75)]
     rows, *row = df.agg(*[p.alias(f"s{i}") for i, p in enumerate(parts)]).first()
     stats = {c: row[5 * i : 5 * i + 5] for i, c in enumerate(rules)}
     for c, (values, odd_values, *_) in stats.items():
@@ -123,7 +132,9 @@ def summarise_all(df: DataFrame, rules: dict[str, QuantileType], singles: dict[s
         if odd_values:
             raise NaNValueError(f"{c}: the baseline holds {odd_values} NaN or infinite values")
     ranked = {c: (quartile_ranks(stats[c][0]), stats[c][0]) for c, rule in rules.items() if rule is QuantileType.FREEDMAN_DIACONIS}
-    quartiles = order_statistics_of(df.select([F.col(_name(c)).cast("double").alias(c) for c in ranked]), ranked, exact_rows) if ranked else {}
+    near = row[5 * len(rules) :]
+    brackets = {(c, k, ranked[c][1]): near[2 * i + j] for i, c in enumerate(sketched) for j, k in enumerate(ranked[c][0])}
+    quartiles = order_statistics_of(df.select([F.col(_name(c)).cast("double").alias(c) for c in ranked]), ranked, exact_rows, brackets) if ranked else {}
     return {c: Summary(rows, values, low, high, deviation, tuple(quartiles[c]) if c in quartiles else None, singles[c]) for c, (values, _, low, high, deviation) in stats.items()}
 
 

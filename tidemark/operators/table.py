@@ -124,7 +124,8 @@ class CandidateTable:
         require_schema(self.baseline.schema, df.schema)
         keys = {c: (b.key(quoted(c)) if isinstance(b, ContinuousBaseline) else quoted(c)).cast("string") for c, b in self.baseline.columns.items()}
         batch = _long(df, keys).groupBy("column", "key").agg(F.count("*").cast("double").alias("rt"))
-        self.histogram = batch if not self.inserted else self.histogram.unionByName(batch).groupBy("column", "key").agg(F.sum("rt").alias("rt"))
+        batch = batch if not self.inserted else self.histogram.unionByName(batch).groupBy("column", "key").agg(F.sum("rt").alias("rt"))
+        self.histogram = batch.persist()  # read several times by drift(); a row per column and bin or value
         self.inserted += 1
         return self
 

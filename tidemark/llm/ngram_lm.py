@@ -131,22 +131,32 @@ def _totals_of(keys: np.ndarray, pieces: dict[int, bytes], n_slices: int) -> np.
 
 
 def _counted(packed: DataFrame, totals: DataFrame, n_slices: int) -> DataFrame:
-    """Per group, for each token: the corpus counts of its word, its predecessor and the bigram."""
+    """Per group, for each token: the corpus counts of its word and of the bigram that it ends."""
     id_type = packed.schema["ids"].dataType.simpleString()
 
     def meet(groups: pa.Table, pieces: pa.Table) -> pa.Table:
-        out = {"ids": [], "flags": [], "lengths": [], "word": [], "context": [], "pair": []}
+        out = {"ids": [], "flags": [], "lengths": [], "begin": [], "word": [], "pair": []}
         for row in groups.to_pylist():
             by = {kind: {p["slice"]: p["totals"] for p in pieces.to_pylist() if p["kind"] == kind} for kind in ("word", "pair")}
             group = Group.of(row)
             words = _totals_of(group.keys, by["word"], n_slices)
             keys, _, place = group.pairs()
             pairs = _totals_of(keys, by["pair"], n_slices)
-            for name, value in (("ids", row["ids"]), ("flags", row["flags"]), ("lengths", row["lengths"]), ("word", squeeze(words[group.cur])), ("context", squeeze(words[group.prev])), ("pair", squeeze(pairs[place]))):
+            for name, value in (("ids", row["ids"]), ("flags", row["flags"]), ("lengths", row["lengths"]), ("begin", int(words[-1])), ("word", squeeze(words[group.cur])), ("pair", squeeze(pairs[place]))):
                 out[name].append(value)
-        return pa.table({k: pa.array(v, groups.schema.field("ids").type if k == "ids" else pa.list_(pa.bool_()) if k == "flags" else pa.binary()) for k, v in out.items()})
+        types = {"ids": groups.schema.field("ids").type, "flags": pa.list_(pa.bool_()), "begin": pa.int64()}
+        return pa.table({k: pa.array(v, types.get(k, pa.binary())) for k, v in out.items()})
 
-    return packed.groupBy("group").cogroup(totals.where("group is not null").groupBy("group")).applyInArrow(meet, f"ids {id_type}, flags array<boolean>, lengths binary, word binary, context binary, pair binary")
+    return packed.groupBy("group").cogroup(totals.where("group is not null").groupBy("group")).applyInArrow(meet, f"ids {id_type}, flags array<boolean>, lengths binary, begin long, word binary, pair binary")
+
+
+def token_counts(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(tokens per document, counts of each token's word, predecessor and bigram). The predecessor is the word before, or the beginning."""
+    lengths = unsqueeze(row["lengths"], np.int32).astype(np.int64) + 1
+    word, pair = (unsqueeze(row[k], np.uint64).astype(float) for k in ("word", "pair"))
+    context = np.concatenate([[0.0], word[:-1]])
+    context[np.cumsum(lengths) - lengths] = row["begin"]
+    return lengths, word, context, pair
 
 
 def bucket_of(context: np.ndarray) -> np.ndarray:
@@ -195,7 +205,7 @@ def fit_weights(bucket: np.ndarray, two: np.ndarray, one: np.ndarray, weight: np
     return weights
 
 
-def lm_scores(docs: DataFrame, training, id_col: str = "doc_id", text_col: str = "text", group_bytes: int = 6 << 20, slice_bytes: int = 24 << 20) -> DataFrame:
+def lm_scores(docs: DataFrame, training, id_col: str = "doc_id", text_col: str = "text", group_bytes: int = 5 << 20, slice_bytes: int = 12 << 20) -> DataFrame:
     """One row per document: id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_token.
 
     training: a boolean column, true for the documents to learn from."""
@@ -220,9 +230,9 @@ def lm_scores(docs: DataFrame, training, id_col: str = "doc_id", text_col: str =
 def _histogram(batches: Iterator[pa.RecordBatch], n_tokens: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for row in batch.to_pylist():
-            training = np.repeat(np.array(row["flags"], bool), unsqueeze(row["lengths"], np.int32) + 1)
-            word, context, pair = (unsqueeze(row[k], np.uint64)[training].astype(float) for k in ("word", "context", "pair"))
-            bucket, two, one = deleted_events(word, context, pair, n_tokens)
+            lengths, word, context, pair = token_counts(row)
+            training = np.repeat(np.array(row["flags"], bool), lengths)
+            bucket, two, one = deleted_events(word[training], context[training], pair[training], n_tokens)
             codes, n = np.unique(bucket.astype(np.int64) << 40 | _code(two) << 20 | _code(one), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(codes), pa.array(n.astype(np.int64))], ["code", "n"])
 
@@ -230,8 +240,7 @@ def _histogram(batches: Iterator[pa.RecordBatch], n_tokens: int) -> Iterator[pa.
 def _score(batches: Iterator[pa.RecordBatch], mixture: np.ndarray, n_words: int, n_tokens: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for k, row in enumerate(batch.to_pylist()):
-            lengths = unsqueeze(row["lengths"], np.int32).astype(np.int64) + 1
-            word, context, pair = (unsqueeze(row[c], np.uint64).astype(float) for c in ("word", "context", "pair"))
+            lengths, word, context, pair = token_counts(row)
             base = np.log10((word + 0.5) / (n_tokens + 0.5 * (n_words + 1)))
             w = mixture[bucket_of(context)]
             two = np.divide(pair, context, out=np.zeros(len(pair)), where=context > 0)

@@ -71,3 +71,13 @@ def lookup_join(rows: DataFrame, unique: DataFrame, key: str, count: str, total:
         "_salt", F.explode(F.when(F.col(count) > hot_from, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0))))
     )
     return salted.join(entries, [key, "_salt"], how).drop("_salt")
+
+
+#: A list of rows to leave out is broadcast up to this many rows, counted first; beyond it the join is by shuffle.
+BROADCAST_ROWS = 1_000_000
+
+
+def without(docs: DataFrame, going: DataFrame, same: Column, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """The rows of docs that match no row of `going`: documents stay where they are while the list is short enough to broadcast."""
+    going = materialize(going, "going")
+    return docs.join(F.broadcast(going) if going.count() <= broadcast_rows else going, same, "left_anti")

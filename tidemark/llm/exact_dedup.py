@@ -19,7 +19,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lookup_join, lower_ascii, materialize
+from .common import lookup_join, lower_ascii, materialize, without
 
 #: Repeated hashes are broadcast for the second read up to this many (about 32 bytes each); beyond it they are joined by shuffle.
 BROADCAST_HASHES = 500_000
@@ -71,7 +71,7 @@ def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     found = materialize(exact_dedup(docs, id_col, text_col, keep), "dedup-result")
     going = found.where("not kept").select(F.col(id_col).alias("_id"), F.col("text_sha256").alias("_sha")).distinct()
     marked = docs.withColumn("_sha_own", F.sha2(lower_ascii(F.coalesce(F.col(text_col), F.lit(""))), 256))
-    left = marked.join(going, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_sha_own") == F.col("_sha")), "left_anti")
+    left = without(marked, going, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_sha_own") == F.col("_sha")))
     kept = found.where("kept")
     if kept.count() != kept.select(id_col, "text_sha256").distinct().count():  # the same id and text several times
         left = left.dropDuplicates([id_col, "_sha_own"])

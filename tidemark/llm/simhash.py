@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lookup_join, materialize
+from .common import lookup_join, materialize, without
 
 #: Node pairs with at most this many leaf pairs are compared directly.
 LEAF_PAIRS = 32
@@ -358,4 +358,4 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     found = materialize(near_duplicates(docs, id_col, text_col, shingle, similarity), "simhash-result")
     stays = F.col(id_col).eqNullSafe(F.col("component_id"))
     going = found.groupBy(id_col).agg(F.bool_or(stays).alias("stays")).where("not stays").select(F.col(id_col).alias("_id"))
-    return docs.join(going, F.col(id_col).eqNullSafe(F.col("_id")), "left_anti")
+    return without(docs, going, F.col(id_col).eqNullSafe(F.col("_id")))

@@ -119,3 +119,31 @@ def test_long_chain_is_one_component(spark):
     links = spark.range(300).selectExpr("id AS a", "id + 1 AS b")
     roots = S.components(links).collect()
     assert {r["root"] for r in roots} == {0} and len(roots) == 300
+
+
+def shingle_set(text):
+    words = text.lower().split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+
+
+@pytest.mark.parametrize("set_bytes", [8 << 20, 3000])
+def test_links_are_those_of_the_shingle_sets(spark, set_bytes):
+    """Documents that share a much repeated line stay; documents that differ in how often they repeat it do not."""
+    rng = random.Random(21)
+    vocabulary = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(3000)]
+    line = rng.choices(vocabulary, k=10)
+    rows = [(k, " ".join(rng.choices(vocabulary, k=100) + line * 12)) for k in range(30)]
+    for k in range(20):
+        words = rng.choices(vocabulary, k=150)
+        rows += [(100 + k, " ".join(words + line * 2)), (200 + k, " ".join(words + line * 30))]
+    for k in range(40):
+        words = rng.choices(vocabulary, k=8 + 5 * k)
+        end = max(1, len(words) // rng.choice([8, 12, 20]))
+        rows += [(300 + k, " ".join(words)), (400 + k, " ".join(words[:-end] + rng.choices(vocabulary, k=end)))]
+    sets = [shingle_set(t) for _, t in rows]
+    links = [(i, j) for i in range(len(rows)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    group = components(len(rows), links)
+    lowest = {g: min(r[0] for r, x in zip(rows, group, strict=True) if x == g) for g in group}
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r["doc_id"]: r["component_id"] for r in S.near_duplicates(df, set_bytes=set_bytes).collect()}
+    assert len(links) > 40 and found == {r[0]: lowest[g] for r, g in zip(rows, group, strict=True)}

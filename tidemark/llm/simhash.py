@@ -12,8 +12,10 @@ partition step down together in numpy. Pairs of small nodes are compared directl
 
 Similarity search. Texts that share 0.8 of their shingles differ in about 15 % of the bits, far more than a budget that a trie
 can prune by. For them, parts of 32 bits of a wide fingerprint (each 16 bits in two parts) are searched with tries of their own
-and a budget of 3; a pair that any part brings together is compared on the whole fingerprint, and linked if the share of
-differing bits says that the texts are as similar as asked for.
+and a budget of 3; a pair that any part brings together is compared on the whole fingerprint. Repeats of a shingle vote once there, so
+that fingerprints follow the sets of shingles. The bits only nominate: their bound is loose, and the members of a group that they make are
+compared by the Jaccard similarity of their shingle sets (each set's rarest part by hash order finds all pairs that can
+reach it). Only pairs that reach it are links. A group of more than `set_bytes` of sets is split into chunks that meet in pairs.
 
 Links. A group of m fingerprints may have m * m / 2 links; only a spanning forest of the links found in a cell leaves
 the task (at most m - 1 links), which has the same components. Members of a crowded node are compared with a pivot
@@ -29,6 +31,7 @@ they are. A null id counts as larger than any other when the smallest id is take
 from __future__ import annotations
 
 import math
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -78,6 +81,10 @@ def _majority(hashes: np.ndarray) -> int:
 def fingerprint(text: str | None, shingle: int = 4, seed: int = 42, words: int = 1) -> list[int]:
     """The SimHash of a text, `words` words of 64 bits; zeros if it has no words. The first comes from XXH64 itself."""
     hashes = shingle_hashes(text, shingle, seed)
+    return _mixed(hashes, words)
+
+
+def _mixed(hashes: np.ndarray, words: int) -> list[int]:
     if not len(hashes):
         return [0] * words
     out = [_majority(hashes)]
@@ -337,25 +344,104 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return joined.select(F.col("id").alias(id_col), F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
 
 
-def differing_bits(similarity: float, words: int = WIDE_WORDS) -> int:
-    """Bits in which wide fingerprints may differ: what two equally long texts with this Jaccard similarity differ in on average, and one and a half standard deviations."""
-    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return round(64 * words * p + 1.5 * math.sqrt(64 * words * p * (1 - p)))
+def wide_fingerprint(shingles: np.ndarray) -> list[int]:
+    """WIDE_WORDS words of 64 bits, on which each distinct shingle votes once."""
+    return _mixed(shingles, WIDE_WORDS)
+
 
+def add_shingles(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
+    """(id, fp, shingles): id has the id and the text's hash, nulls last; shingles are distinct hashes in order, 8 bytes each."""
+    plain = docs.select(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("text")).alias("id"), F.col(text_col).alias("t"))
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, cell_rows: int = 200_000) -> DataFrame:
-    """One row per document: id, component_id: documents whose word shingles are similar are linked.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                sets = [np.unique(shingle_hashes(t.as_py(), shingle)) for t in part.column(1)]
+                prints = [np.array(wide_fingerprint(x), ">u8").tobytes() for x in sets]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(prints, pa.binary()), pa.array([x.tobytes() for x in sets], pa.binary())], ["id", "fp", "shingles"])
 
-    Similarity is read off wide fingerprints (standard error about 0.03 at 0.8)."""
-    prints = materialize(add_fingerprints(docs, id_col, text_col, shingle, words=WIDE_WORDS), "simhash-wide")
-    most = differing_bits(similarity)
-    joined = _classed(prints, lambda distinct: near_links(distinct, PART_BUDGET, WIDE_WORDS, WIDE_PARTS, most, cell_rows))
-    return joined.select(F.col("id").alias(id_col), "component_id")
+    return plain.mapInArrow(run, f"id {plain.schema['id'].dataType.simpleString()}, fp binary, shingles binary")
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+def differing_bits(similarity: float, words: int = WIDE_WORDS) -> int:
+    """Bits in which wide fingerprints may differ: five standard deviations more than those of two equally large sets with this Jaccard similarity.
+
+    Sets of a few shingles differ in more bits than large ones (0.19 against 0.15 of them at 0.8); that is within the bound."""
+    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return round(64 * words * p + 5 * math.sqrt(64 * words * p * (1 - p)))
+
+
+def similar_links(sets: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the pairs of sorted sets whose Jaccard similarity is `similarity` or more.
+
+    Of such a pair, the first n - ceil(similarity * n) + 1 members of both sets have one in common."""
+    forest, seen = np.arange(len(sets)), {}  # forest: number of the group of each set
+    i, j = [], []
+    sizes = np.array([len(x) for x in sets])
+    for k, own in enumerate(sets):
+        head = own[: len(own) - math.ceil(similarity * len(own) - 1e-9) + 1].tolist()
+        met = [seen[h] for h in head if h in seen]
+        shared = np.bincount(np.concatenate([np.array(m) for m in met])) if met else np.empty(0, np.int64)
+        left = np.nonzero(shared)[0]
+        left = left[np.minimum(sizes[left], len(own)) >= similarity * np.maximum(sizes[left], len(own)) - 1e-9]
+        left = left[np.argsort(-shared[left], kind="stable")]  # the likeliest first
+        while len(left):
+            o = int(left[0])
+            common = len(np.intersect1d(own, sets[o], assume_unique=True))
+            if common >= similarity * (len(own) + sizes[o] - common) - 1e-9:
+                i.append(k)
+                j.append(o)
+                forest[forest == forest[k]] = forest[o]
+                left = left[forest[left] != forest[o]]
+            else:
+                left = left[1:]
+        for h in head:
+            seen.setdefault(h, array("q")).append(k)
+    return np.array(i, np.int64), np.array(j, np.int64)
+
+
+def verified_links(prints: DataFrame, nominated: DataFrame, similarity: float, set_bytes: int = 8 << 20) -> DataFrame:
+    """(a, b) links between fingerprints whose shingle sets are similar, among the components of the nominated links."""
+    roots = materialize(components(nominated), "simhash-nominated")
+    rooted = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
+    held = prints.groupBy("fp").agg(F.max(F.length("shingles")).alias("bytes"))
+    members = materialize(held.join(rooted, F.col("fp") == F.col("node")).select("fp", "root", "bytes"), "simhash-members")
+    groups = members.groupBy("root").agg(F.count("*").alias("n"), F.ceil(F.sum("bytes") / set_bytes).cast("int").alias("chunks"))
+    dealt = lookup_join(members.select("fp", "root"), groups, "root", "n", members.count(), ["fp"], "inner")
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int"))
+    sets = prints.select("fp", "shingles").join(dealt, "fp").dropDuplicates(["fp"])
+    sets = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    sets = sets.withColumn("pair", F.least("own", "other").cast("long") * F.col("chunks") + F.greatest("own", "other"))
+
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("fp")
+        i, j = similar_links([np.frombuffer(x, np.uint64) for x in rows.column("shingles").to_pylist()], similarity)
+        return pa.table({"a": rows.column("fp").take(pa.array(i)), "b": rows.column("fp").take(pa.array(j))})
+
+    return sets.select("root", "pair", "fp", "shingles").groupBy("root", "pair").applyInArrow(run, "a binary, b binary")
+
+
+def _similar(docs: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float, cell_rows: int, set_bytes: int) -> DataFrame:
+    """(id, component_id), both of them structs as add_shingles makes them."""
+    prints = materialize(add_shingles(docs, id_col, text_col, shingle), "simhash-wide")
+
+    def links(distinct: DataFrame) -> DataFrame:
+        worded = distinct.where(F.col("fp") != F.lit(bytes(8 * WIDE_WORDS)))  # texts without words are like each other only
+        return verified_links(prints, near_links(worded, PART_BUDGET, WIDE_WORDS, WIDE_PARTS, differing_bits(similarity), cell_rows), similarity, set_bytes)
+
+    return _classed(prints.select("id", "fp"), links).select("id", "component_id")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, cell_rows: int = 200_000, set_bytes: int = 8 << 20) -> DataFrame:
+    """One row per document: id, component_id: documents whose sets of word shingles have this Jaccard similarity are linked."""
+    joined = _similar(docs, id_col, text_col, shingle, similarity, cell_rows, set_bytes)
+    return joined.select(F.col("id.id").alias(id_col), F.col("component_id.id").alias("component_id"))
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, cell_rows: int = 200_000, set_bytes: int = 8 << 20) -> DataFrame:
     """One document of each component stays: the one with the smallest id. Rows that share an id stay or go together."""
-    found = materialize(near_duplicates(docs, id_col, text_col, shingle, similarity), "simhash-result")
-    stays = F.col(id_col).eqNullSafe(F.col("component_id"))
-    going = found.groupBy(id_col).agg(F.bool_or(stays).alias("stays")).where("not stays").select(F.col(id_col).alias("_id"))
+    found = materialize(_similar(docs, id_col, text_col, shingle, similarity, cell_rows, set_bytes), "simhash-result")
+    stays = F.col("id.id").eqNullSafe(F.col("component_id.id"))
+    going = found.groupBy("id.id").agg(F.bool_or(stays).alias("stays")).where("not stays").select(F.col("id").alias("_id"))
     return without(docs, going, F.col(id_col).eqNullSafe(F.col("_id")))

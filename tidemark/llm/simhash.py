@@ -15,7 +15,7 @@ can prune by. For them, parts of 32 bits of a wide fingerprint (each 16 bits in
 and a budget of 3; a pair that any part brings together is compared on the whole fingerprint. Repeats of a shingle vote once there, so
 that fingerprints follow the sets of shingles. The bits only nominate: their bound is loose, and the members of a group that they make are
 compared by the Jaccard similarity of their shingle sets (each set's rarest part by hash order finds all pairs that can
-reach it). Only pairs that reach it are links. A group of more than `set_bytes` of sets is split into chunks that meet in pairs.
+reach it). Only pairs that reach it are links. Sets of a few shingles are nominated by shared shingles too. A group of more than `set_bytes` of sets is split into chunks that meet in pairs.
 
 Links. A group of m fingerprints may have m * m / 2 links; only a spanning forest of the links found in a cell leaves
 the task (at most m - 1 links), which has the same components. Members of a crowded node are compared with a pivot
@@ -51,6 +51,8 @@ WIDE_WORDS = 5
 #: Parts of a wide fingerprint that are searched, as pairs of 16-bit pieces, and how many bits may differ in a part.
 WIDE_PARTS = [(k, k + 1) for k in range(0, 4 * WIDE_WORDS, 2)] + [(k, (k + 3) % (4 * WIDE_WORDS)) for k in range(0, 4 * WIDE_WORDS, 2)]
 PART_BUDGET = 3
+#: Sets of up to so many shingles, whose bits differ most, are also brought together by their shingles.
+SHORT = 8
 
 Near = Callable[[np.ndarray, np.ndarray], np.ndarray]
 
@@ -401,6 +403,15 @@ def similar_links(sets: list[np.ndarray], similarity: float) -> tuple[np.ndarray
     return np.array(i, np.int64), np.array(j, np.int64)
 
 
+def short_links(prints: DataFrame, similarity: float) -> DataFrame:
+    """(a, b) links that nominate all similar pairs of sets of up to SHORT shingles: those that share one of their first (see similar_links)."""
+    n = F.length("shingles") / 8
+    heads = prints.where((F.length("shingles") > 0) & (n <= SHORT)).select("fp", "shingles", F.explode(F.sequence(F.lit(0), (n - F.ceil(similarity * n - 1e-9)).cast("int"))).alias("k"))
+    heads = heads.select("fp", F.expr("substring(shingles, 8 * k + 1, 8)").alias("head")).distinct()
+    least = heads.groupBy("head").agg(F.min("fp").alias("b"), F.count("*").alias("n"))
+    return lookup_join(heads, least, "head", "n", heads.count(), ["fp"], "inner").where("fp <> b").select(F.col("fp").alias("a"), "b")
+
+
 def verified_links(prints: DataFrame, nominated: DataFrame, similarity: float, set_bytes: int = 8 << 20) -> DataFrame:
     """(a, b) links between fingerprints whose shingle sets are similar, among the components of the nominated links."""
     roots = materialize(components(nominated), "simhash-nominated")
@@ -428,7 +439,8 @@ def _similar(docs: DataFrame, id_col: str, text_col: str, shingle: int, similari
 
     def links(distinct: DataFrame) -> DataFrame:
         worded = distinct.where(F.col("fp") != F.lit(bytes(8 * WIDE_WORDS)))  # texts without words are like each other only
-        return verified_links(prints, near_links(worded, PART_BUDGET, WIDE_WORDS, WIDE_PARTS, differing_bits(similarity), cell_rows), similarity, set_bytes)
+        nominated = near_links(worded, PART_BUDGET, WIDE_WORDS, WIDE_PARTS, differing_bits(similarity), cell_rows)
+        return verified_links(prints, nominated.unionByName(short_links(prints, similarity)), similarity, set_bytes)
 
     return _classed(prints.select("id", "fp"), links).select("id", "component_id")
 

@@ -211,3 +211,16 @@ def test_verdicts(spark, forest):
     verdict = {r["doc_id"]: r["secret"] for r in secret_scan.scan_secrets(df, forest, path_col="path").collect()}
     assert verdict == {1: True, 2: False, 3: False, 4: True, 5: False}
     assert secret_scan.scan_secrets(df.limit(0), forest).count() == 0
+
+
+def test_key_names_are_context_and_no_candidates(spark, forest):
+    key, mixed, words = "4d44c79e8bf7c55759c4958dd60ed83d2ef8cd4e", "wJalrXUtnFEMI/K7MDENG/bPxRfiCYzQ84LpT2sV", "wJalrXUtnFEMIxKrMDENGobPxRfiCYzQ"
+    rows = [(1, f'GOOGLE_CLIENT_SECRET="{key}"'), (2, f"AWS_SECRET_ACCESS_KEY={mixed}"), (3, f"service_2_password_prod: {words}"), (4, f"commit {key}"), (5, f'token2 = "{mixed}", "{key}"'), (6, f"{key}: wrong checksum"), (7, "token = 0123456789abcdef==")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {(r["id"], r["finding"]): (r["value"], r["context"]) for r in secret_scan.candidates(df, "doc_id", "text").collect()}
+    assert {k: v for k, (v, _) in found.items()} == {(1, 0): key, (2, 0): mixed, (3, 0): words, (4, 0): key, (5, 0): mixed, (5, 1): key, (6, 0): key, (7, 0): "0123456789abcdef=="}
+    for (i, _), (value, context) in found.items():
+        text = dict(rows)[i]
+        assert context == text[: text.index(value)][-48:]
+    verdict = {(r["doc_id"], r["finding"]): r["secret"] for r in secret_scan.scan_secrets(df, forest).collect()}
+    assert verdict[1, 0] and verdict[2, 0] and not verdict[4, 0]

@@ -1,8 +1,8 @@
 """Secret scan: candidate strings, judged by a random forest. DataFrame operations only.
 
-Candidates are runs of 16 or more key characters that hold a digit or stand behind a word such as "password". The forest looks at length,
-character classes and the transitions between them, coverage by dictionary words, the path and the neighbouring words,
-and is trained from labelled findings. It removes false positives: checksums, commit ids, identifiers, numbers, placeholders.
+Candidates are runs of 16 or more key characters that hold a digit or stand behind a word such as "password"; the name in
+`SOME_SECRET_NAME = value` is none. The forest looks at length, character classes and the transitions between them, coverage by
+dictionary words, the path and the neighbouring words (the 48 characters before, whatever they are), and is trained from labelled findings. It removes false positives: checksums, commit ids, identifiers, numbers, placeholders.
 
 Training. `labelled_findings` makes a labelled table from the kinds of findings that a reviewer meets (fixed
 templates below, values from hashes of a running number); callers with reviewed findings of their own pass those. The
@@ -22,8 +22,13 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CANDIDATE = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+={0,2}"
-SECRET_WORDS = r"(secret|token|passw|passphrase|pwd|api[ _-]?key|apikey|access[ _-]?key|auth|bearer|credential|private[ _-]?key|client[ _-]?key)"
+#: A secret word may begin a longer name: "passw" that of password, "secret" that of SECRET_VALUE.
+SECRET_WORDS = r"((?:secret|token|passw|passphrase|pwd|api[ _-]?key|apikey|access[ _-]?key|auth|bearer|credential|private[ _-]?key|client[ _-]?key)[\w-]{0,24})"
+#: The sign between a name and its value.
+SIGN = r"[\"'`\]]{0,2}[ \t]{0,4}(?:=>|[:=]{1,2})[ \t]{0,4}"
+#: A name with a secret word in it, a sign and the beginning of a value.
+NAME = r"(?=[A-Za-z0-9_/-]{0,80}?(?i:" + SECRET_WORDS + r"))[A-Za-z]{1,64}[0-9]{0,2}(?:[_/-]{1,2}(?:[A-Za-z]{1,64}[0-9]{0,2}|[0-9]{1,4})){0,12}" + SIGN + r"[\"'`]?[^\s\"'`=,;)\]}]"
+CANDIDATE = r"(?<![A-Za-z0-9+/_-])(?!" + NAME + r")[A-Za-z0-9+/_-]{16,}+={0,2}"
 OTHER_WORDS = r"(commit|sha1|sha256|sha512|md5|checksum|digest|etag|hash|uuid|guid|revision|version|merge|image|base64|nonce|build|session id|trace|order|invoice|card)"
 #: Words that names and placeholders are made of.
 DICTIONARY = (
@@ -42,16 +47,20 @@ FEATURES = ["length", "digits", "uppers", "lowers", "symbols", "transitions", "v
 
 
 def candidates(docs: DataFrame, id_col: str, text_col: str, path_col: str | None = None) -> DataFrame:
-    """(id, finding, value, before, after, path): one row per candidate, numbered within its text.
+    """(id, finding, value, before, after, path, context): one row per candidate, numbered within its text.
 
-    A text is taken apart at its candidates: the pieces in between hold the neighbouring words."""
+    A text is taken apart at its candidates: the pieces in between hold the neighbouring words. context: the last 48 characters
+    before the value, earlier candidates included (three of them fill it)."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     path = F.col(path_col).cast("string") if path_col else F.lit(None).cast("string")
     parts = docs.select(F.col(id_col).alias("id"), path.alias("path"), F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)).alias("values"), F.split(text, CANDIDATE, -1).alias("pieces"))
     parts = parts.where(F.size("values") > 0).withColumn("pieces", F.transform("pieces", lambda p: F.struct(F.left(p, F.lit(24)).alias("head"), F.right(p, F.lit(48)).alias("tail"))))
-    zipped = F.transform("values", lambda v, i: F.struct(i.alias("finding"), v.alias("value"), F.get(F.col("pieces"), i)["tail"].alias("before"), F.get(F.col("pieces"), i + 1)["head"].alias("after")))
-    found = parts.select("id", "path", F.explode(zipped).alias("c")).select("id", "c.*", "path")
-    return found.where(F.col("value").rlike("[0-9]") | F.lower("before").rlike(SECRET_WORDS + r"\W{0,4}$"))
+    joined = F.transform("values", lambda v, i: F.concat(F.when(i > 0, F.right(F.get(F.col("values"), i - 1), F.lit(48))).otherwise(F.lit("")), F.get(F.col("pieces"), i)["tail"]))
+    parts = parts.withColumn("joined", joined)
+    context = lambda i: F.right(F.array_join(F.slice("joined", F.greatest(i - 2, F.lit(1)), F.least(i + 1, F.lit(4))), ""), F.lit(48))
+    zipped = F.transform("values", lambda v, i: F.struct(i.alias("finding"), v.alias("value"), F.get(F.col("pieces"), i)["tail"].alias("before"), F.get(F.col("pieces"), i + 1)["head"].alias("after"), context(i).alias("context")))
+    found = parts.select("id", "path", F.explode(zipped).alias("c")).select("id", "c.finding", "c.value", "c.before", "c.after", "path", "c.context")
+    return found.where(F.col("value").rlike("[0-9]") | F.lower("context").rlike(SECRET_WORDS + r"\W{0,12}$"))
 
 
 def _share(value: Column, pattern: str) -> Column:
@@ -59,7 +68,8 @@ def _share(value: Column, pattern: str) -> Column:
 
 
 def add_features(found: DataFrame) -> DataFrame:
-    value, before, path = F.col("value"), F.lower(F.coalesce(F.col("before"), F.lit(""))), F.lower(F.coalesce(F.col("path"), F.lit("")))
+    """found: value, path, and before or (as candidates gives it) context."""
+    value, before, path = F.col("value"), F.lower(F.coalesce(F.col("context" if "context" in found.columns else "before"), F.lit(""))), F.lower(F.coalesce(F.col("path"), F.lit("")))
     classes = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(value, "[^A-Za-z0-9]", "-"), "[a-z]", "a"), "[A-Z]", "A"), "[0-9]", "0")
     words = "|".join(sorted(set(DICTIONARY), key=lambda w: (-len(w), w)))
     return found.withColumns(

@@ -224,3 +224,13 @@ def test_key_names_are_context_and_no_candidates(spark, forest):
         assert context == text[: text.index(value)][-48:]
     verdict = {(r["doc_id"], r["finding"]): r["secret"] for r in secret_scan.scan_secrets(df, forest).collect()}
     assert verdict[1, 0] and verdict[2, 0] and not verdict[4, 0]
+
+
+def test_short_and_mixed_values_behind_a_secret_word(spark, forest):
+    rows = [(1, 'password = "hunter2-abc9"', "hunter2-abc9"), (2, "db_password=P@ss.w0rd!9,", "P@ss.w0rd!9"), (3, 'x: "api key": \'a1$b2$c3\'', "a1$b2$c3"), (4, 'pwd = "two words 99"', "two words 99"), (5, "password: short", None), (6, "TOKEN=abcdefghijklmnop$qrst0", "abcdefghijklmnop"), (7, "password: required", "required"), (8, 'a = "hunter2-abc9"', None)]
+    df = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    found = {r["id"]: (r["value"], r["context"]) for r in secret_scan.candidates(df, "doc_id", "text").collect()}
+    assert {k: v for k, (v, _) in found.items()} == {i: v for i, _, v in rows if v}
+    assert all(c == dict(r[:2] for r in rows)[i].split(v)[0][-48:] for i, (v, c) in found.items())
+    verdict = {r["doc_id"]: r["secret"] for r in secret_scan.scan_secrets(df, forest).collect()}
+    assert verdict[1] and verdict[2] and not verdict[7]

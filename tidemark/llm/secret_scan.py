@@ -1,7 +1,8 @@
 """Secret scan: candidate strings, judged by a random forest. DataFrame operations only.
 
 Candidates are runs of 16 or more key characters that hold a digit or stand behind a word such as "password"; the name in
-`SOME_SECRET_NAME = value` is none. The forest looks at length, character classes and the transitions between them, coverage by
+`SOME_SECRET_NAME = value` is none. So are quoted or unspaced values of 6 or more characters behind a secret word and = or :, if no such
+run is found in them; these are numbered after the runs. The forest looks at length, character classes and the transitions between them, coverage by
 dictionary words, the path and the neighbouring words (the 48 characters before, whatever they are), and is trained from labelled findings. It removes false positives: checksums, commit ids, identifiers, numbers, placeholders.
 
 Training. `labelled_findings` makes a labelled table from the kinds of findings that a reviewer meets (fixed
@@ -29,6 +30,12 @@ SIGN = r"[\"'`\]]{0,2}[ \t]{0,4}(?:=>|[:=]{1,2})[ \t]{0,4}"
 #: A name with a secret word in it, a sign and the beginning of a value.
 NAME = r"(?=[A-Za-z0-9_/-]{0,80}?(?i:" + SECRET_WORDS + r"))[A-Za-z]{1,64}[0-9]{0,2}(?:[_/-]{1,2}(?:[A-Za-z]{1,64}[0-9]{0,2}|[0-9]{1,4})){0,12}" + SIGN + r"[\"'`]?[^\s\"'`=,;)\]}]"
 CANDIDATE = r"(?<![A-Za-z0-9+/_-])(?!" + NAME + r")[A-Za-z0-9+/_-]{16,}+={0,2}"
+#: A secret word, a sign, and a quoted value or one without space, of 6 characters or more.
+ASSIGNED = r"(?i:" + SECRET_WORDS + r")" + SIGN + r"(?:\"[^\"\n]{6,}+\"|'[^'\n]{6,}+'|`[^`\n]{6,}+`|[\"'`]?[^\s\"'`]{6,}+)"
+#: What stands before the value in a match of ASSIGNED.
+LEAD = r"^(?i:" + SECRET_WORDS + r")" + SIGN + r"[\"'`]?"
+#: Assigned values that runs already give: one begins with a run, or holds a run with a digit.
+HAS_RUN = "^" + CANDIDATE + r"|(?<![A-Za-z0-9+/_-])(?!" + NAME + r")(?=[A-Za-z+/_-]*[0-9])[A-Za-z0-9+/_-]{16,}"
 OTHER_WORDS = r"(commit|sha1|sha256|sha512|md5|checksum|digest|etag|hash|uuid|guid|revision|version|merge|image|base64|nonce|build|session id|trace|order|invoice|card)"
 #: Words that names and placeholders are made of.
 DICTIONARY = (
@@ -53,14 +60,27 @@ def candidates(docs: DataFrame, id_col: str, text_col: str, path_col: str | None
     before the value, earlier candidates included (three of them fill it)."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     path = F.col(path_col).cast("string") if path_col else F.lit(None).cast("string")
-    parts = docs.select(F.col(id_col).alias("id"), path.alias("path"), F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)).alias("values"), F.split(text, CANDIDATE, -1).alias("pieces"))
-    parts = parts.where(F.size("values") > 0).withColumn("pieces", F.transform("pieces", lambda p: F.struct(F.left(p, F.lit(24)).alias("head"), F.right(p, F.lit(48)).alias("tail"))))
+    taken = lambda rule: (F.regexp_extract_all(text, F.lit(rule), F.lit(0)), F.split(text, rule, -1))
+    (values, pieces), (named, between) = taken(CANDIDATE), taken(ASSIGNED)
+    parts = docs.select(F.col(id_col).alias("id"), path.alias("path"), values.alias("values"), pieces.alias("pieces"), named.alias("named"), between.alias("between"))
+    parts = parts.where((F.size("values") > 0) | (F.size("named") > 0)).withColumn("pieces", F.transform("pieces", lambda p: F.struct(F.left(p, F.lit(24)).alias("head"), F.right(p, F.lit(48)).alias("tail"))))
     joined = F.transform("values", lambda v, i: F.concat(F.when(i > 0, F.right(F.get(F.col("values"), i - 1), F.lit(48))).otherwise(F.lit("")), F.get(F.col("pieces"), i)["tail"]))
     parts = parts.withColumn("joined", joined)
     context = lambda i: F.right(F.array_join(F.slice("joined", F.greatest(i - 2, F.lit(1)), F.least(i + 1, F.lit(4))), ""), F.lit(48))
     zipped = F.transform("values", lambda v, i: F.struct(i.alias("finding"), v.alias("value"), F.get(F.col("pieces"), i)["tail"].alias("before"), F.get(F.col("pieces"), i + 1)["head"].alias("after"), context(i).alias("context")))
-    found = parts.select("id", "path", F.explode(zipped).alias("c")).select("id", "c.finding", "c.value", "c.before", "c.after", "path", "c.context")
-    return found.where(F.col("value").rlike("[0-9]") | F.lower("context").rlike(SECRET_WORDS + r"\W{0,12}$"))
+    runs = F.filter(zipped, lambda c: c["value"].rlike("[0-9]") | F.lower(c["context"]).rlike(SECRET_WORDS + r"\W{0,12}$"))
+
+    def assigned(match: Column, i: Column) -> Column:
+        lead = F.regexp_extract(match, LEAD, 0)
+        rest = F.substring(match, F.length(lead) + 1, F.length(match))
+        value = F.regexp_replace(rest, F.when(lead.rlike("[\"'`]$"), F.lit("[\"'`]$")).otherwise(F.lit(r"[,;.)\]}>]+$")), F.lit(""))
+        before = F.right(F.concat(F.right(F.get(F.col("between"), i), F.lit(48)), lead), F.lit(48))
+        after = F.left(F.concat(F.substring(rest, F.length(value) + 1, F.lit(24)), F.left(F.get(F.col("between"), i + 1), F.lit(24))), F.lit(24))
+        return F.struct((F.size("values") + i).alias("finding"), value.alias("value"), before.alias("before"), after.alias("after"), before.alias("context"))
+
+    others = F.filter(F.transform("named", assigned), lambda c: (F.length(c["value"]) >= 6) & ~c["value"].rlike(HAS_RUN))
+    found = parts.select("id", "path", F.explode(F.concat(runs, others)).alias("c"))
+    return found.select("id", "c.finding", "c.value", "c.before", "c.after", "path", "c.context")
 
 
 def _share(value: Column, pattern: str) -> Column:
@@ -121,6 +141,8 @@ def labelled_findings(spark: SparkSession, rows: int = 6000, seed: int = 3) -> D
         (F.concat_ws("_", word("1"), word("2"), word("3")), keyed, plain_path, 0), (F.concat(word("1"), F.initcap(word("2")), F.initcap(word("3")), F.lit("2")), prose, plain_path, 0),
         (F.concat_ws("/", word("1"), word("2"), word("3"), F.lit("v2")), prose, plain_path, 0), (F.lit("xxxxxxxxxxxxxxxxxxxxxxxx"), keyed, plain_path, 0), (F.lit("your_api_key_here_1234"), keyed, plain_path, 0),
         (F.concat(F.lit("0000000000000000"), F.substring(digits, 1, 4)), keyed, plain_path, 0), (hex40, keyed, test_path, 0), (mixed, keyed, test_path, 0), (hex40, prose, plain_path, 0),
+        (F.substring(mixed, 1, 10), keyed, plain_path, 1), (F.concat(odd("m"), odd("n"), F.substring(digits, 9, 2), pick("c", ["!", "@", "#", "$", "-", ".", "!x", "-abc"]), F.substring(digits, 12, 2)), keyed, plain_path, 1),
+        (word("4"), keyed, plain_path, 0), (F.concat(odd("k"), odd("l")), keyed, plain_path, 0), (F.substring(mixed, 1, 10), keyed, test_path, 0),
     ]
     made = spark.range(rows).withColumn("kind", F.col("id") % len(kinds))
     choose = lambda k: F.coalesce(*[F.when(F.col("kind") == i, x[k] if isinstance(x[k], Column) else F.lit(x[k])) for i, x in enumerate(kinds)])

@@ -166,6 +166,35 @@ def test_cosine_search_recall(spark):
     assert wanted > 20 and hit / wanted >= 0.9
 
 
+def test_paraphrases_against_brute_force(spark):
+    """Items with up to 40 % of their words replaced: all that the subsequence and answer checks accept anywhere are found."""
+    rng = random.Random(12)
+    vocabulary = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(3, 9))) for _ in range(1500)]
+    items = [rng.choices(vocabulary, k=rng.choice([8, 9, 10, 16, 24, 40, 100])) for _ in range(60)]
+    docs = []
+    for d in range(240):
+        item = items[d % 60].copy()
+        body = len(item) * 4 // 5
+        for at in rng.sample(range(body), min(body, int(len(item) * rng.choice([0, 0.125, 0.25, 0.35, 0.4])))):
+            item[at] = rng.choice(vocabulary)
+        at, text = rng.randint(0, 60), rng.choices(vocabulary, k=rng.choice([60, 200]))
+        docs.append(text[:at] + item + text[at:])
+    expected = {}
+    for d, words in enumerate(docs):
+        for k, item in enumerate(items):
+            masks, told = D.masks_of(item), item[-max(3, len(item) // 5) :]
+            size = next(c for c in D.CLASSES if c >= len(item))
+            for low in range(0, len(words), size // 2):
+                region = words[low : low + size * 5 // 2]
+                share = D.lcs_length(masks, len(item), region) / len(item)
+                if share >= 0.9 or share >= 0.6 and D.lcs_length(D.masks_of(told), len(told), region) >= 0.6 * len(told):
+                    expected.setdefault(d, set()).add(k)
+    df = spark.createDataFrame([(d, " ".join(w)) for d, w in enumerate(docs)], "doc_id long, text string")
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id long, text string")
+    found = {r["doc_id"]: set(r["items"]) for r in D.contaminated(df, bench).collect() if r["items"]}
+    assert len(expected) > 220 and found == expected
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline as P
 

@@ -16,28 +16,56 @@ WORD = r"[^\x20\x09-\x0D]+"
 MAX_HOT_KEYS = 1000
 
 
+#: Shuffle files of a query are removed as soon as it has ended.
+EARLY_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a folder of our own where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or the checkpoint folder set on the context.
+
+    Where neither is set, a local session gets a folder of its own; on a cluster, whose machines would each write to their own disk, that is an error."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
-        current = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if current.isEmpty():
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tidemark-"))
-            current = spark.sparkContext._jsc.sc().getCheckpointDir()
-        configured = current.get()
+        context = spark.sparkContext
+        if context._jsc.sc().getCheckpointDir().isEmpty():
+            if not context.master.split("[")[0] == "local":
+                raise RuntimeError("spark.checkpoint.dir is not set: name a folder that driver and executors share")
+            context.setCheckpointDir(tempfile.mkdtemp(prefix="tidemark-"))
+        configured = context._jsc.sc().getCheckpointDir().get()
     return configured.rstrip("/")
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
+def materialize(df: DataFrame, label: str, bucket_by: str | None = None) -> DataFrame:
     """Write df as a Parquet table in the shared folder and read it back: cuts lineage and survives lost executors.
 
-    The table is removed when the application ends."""
+    bucket_by: a column by whose hash the rows are dealt over the files, so that a later join or grouping on it moves none of them. Nothing reads the shuffles behind it again, so their files go when the write has ended. The table is removed by `discard`, or when the application ends."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    name = f"{label}-{uuid.uuid4().hex}"
+    path, registered = f"{shared_dir(spark)}/{name}", name.replace("-", "_")
+    former = spark.conf.get(EARLY_CLEANUP, "false")
+    spark.conf.set(EARLY_CLEANUP, "true")
+    try:
+        if bucket_by:
+            buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+            df.write.format("parquet").option("path", path).bucketBy(buckets, bucket_by).saveAsTable(registered)
+        else:
+            df.write.parquet(path)
+    finally:
+        spark.conf.set(EARLY_CLEANUP, former)
     hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop_path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.table(registered) if bucket_by else spark.read.schema(df.schema).parquet(path)
+    back._written_to, back._registered = path, registered if bucket_by else None
+    return back
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove tables that `materialize` wrote and that nothing will read again."""
+    for df in tables:
+        if df._registered:
+            df.sparkSession.sql(f"DROP TABLE IF EXISTS {df._registered}")
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._written_to)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def lower_ascii(text: Column) -> Column:

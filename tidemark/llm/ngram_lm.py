@@ -8,19 +8,27 @@ is set aside. For that, tokens are gathered in a histogram over bucket and the t
 octave; its size depends on the steps, not on the corpus, and the weights are fitted on it.
 
 Plan. (1) Texts are split once and written as groups of packed word numbers. (2) Each group sends its distinct words and
-bigrams, with their counts in training documents, to slices by hash; a slice adds them up and returns to each group
+bigrams, with their counts in training documents, to slices of the hash range; a slice adds them up and returns to each group
 the totals of what it sent, in the same order: no token is shuffled, only distinct keys of a group, and no model is
 gathered anywhere. (3) Groups meet their totals and write per-token counts; histogram and scores are read off that.
 
-Scale. A slice holds the keys of about `slice_bytes` of text, a group about `group_bytes` of text, so memory is bounded by these two. A word
-that fills the corpus is one key per group. Keys are 64-bit hashes. With executors of more memory, raise both: the number of
-pieces in the exchange is groups times slices.
+Exchange. What a group sends to a slice is one piece: sorted keys as differences, byte plane by byte plane. Words have
+64-bit keys. Bigram keys have 20 bits more than the number of tokens has, whatever that is, so one bigram in a million shares its key;
+with many keys to a group a difference takes under four bytes. The shuffle's files go when the totals are written, the packed table and the totals
+when the counts are.
 
-Defined results. Null text is empty: one token, the end. Repeated rows are scored and counted as often as they are.
-Rows with a null id count as id ''. Without training tokens all estimates fall back to the uniform one."""
+Scale. A slice takes `slice_keys` keys, a group about `group_bytes` of text: memory is bounded by these two, and the number of slices
+follows the number of keys sent, words and bigrams apart. A word that fills the corpus is one key per group. A
+piece holds (keys of a group) x slice_keys / (all keys) keys: some 300 keys at 30 GB. There are never more pieces than keys, but from some
+terabytes on pieces hold a few keys only; then raise both parameters with the memory of the executors, as the number of pieces falls with their product.
+
+Defined results. Null text is empty: one token, the end. A text of any length is whole in one group. Repeated rows are scored and counted as often as they are.
+Rows with a null id count as id ''. Other columns, whatever their names, are not read. Without training tokens all estimates fall back to the uniform one.
+Empty table: empty result."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,13 +36,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
-from .packing import SPACED, as_vocabulary, ascii_lower_bytes, finish, pack_documents, squeeze, unsqueeze
+from .common import discard, materialize
+from .packing import SPACED, as_vocabulary, ascii_lower_bytes, finish, pack_documents, squeeze_planes, unsqueeze, unsqueeze_planes
 
 END, BEGIN = np.uint64(0x6A09E667F3BCC909), np.uint64(0xBB67AE8584CAA73B)  # keys of the end and of the place before a text
 STEPS = 8  # of the histogram, per octave
 EM_ROUNDS = 60
 FLOOR = 1e-6  # least weight of the uniform estimate
+#: Bits of a bigram's key beyond those that the number of tokens has.
+SPARE_BITS = 20
 
 
 def mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -61,7 +71,7 @@ class Group:
 
     @classmethod
     def of(cls, row: dict) -> Group:
-        return cls(unsqueeze(row["lengths"], np.int32), unsqueeze(row["tokens"], np.int32), np.frombuffer(row["vocabulary"], np.uint64), np.array(row["flags"], bool))
+        return cls(unsqueeze(row["lengths"], np.int32), unsqueeze_planes(row["tokens"], np.int32), np.frombuffer(row["vocabulary"], np.uint64), np.array(row["flags"], bool))
 
     def words(self) -> tuple[np.ndarray, np.ndarray]:
         """(keys, training counts) of the group's words, the end and the beginning."""
@@ -77,26 +87,45 @@ class Group:
         return keys, np.bincount(place[self.training], minlength=len(codes)), place
 
 
-def _slices(keys: np.ndarray, n: int) -> np.ndarray:
-    return ((keys >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int32)
+class Exchange:
+    """How the keys of a kind are dealt over slices of the hash range, and how wide they are on the way."""
+
+    def __init__(self, kind: str, keys: int, slice_keys: int, bits: int = 64) -> None:
+        self.kind, self.n_slices, self.dropped = kind, max(1, -(-keys // slice_keys)), np.uint64(64 - bits)
+
+    def order(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(places of the keys in order, where the slices are cut)."""
+        order = np.argsort(keys)
+        slices = (keys[order] >> np.uint64(32)) * np.uint64(self.n_slices) >> np.uint64(32)
+        return order, np.searchsorted(slices, np.arange(self.n_slices + 1, dtype=np.uint64))
+
+    def pieces(self, keys: np.ndarray, counts: np.ndarray) -> list[tuple[int, bytes, bytes]]:
+        """(slice, keys as differences, counts) of all slices that get any."""
+        order, cut = self.order(keys)
+        narrow, counts = keys[order] >> self.dropped, counts[order].astype(np.uint32)
+        told = [(s, int(cut[s]), int(cut[s + 1])) for s in range(self.n_slices) if cut[s + 1] > cut[s]]
+        return [(s, squeeze_planes(np.diff(narrow[a:b], prepend=np.uint64(0))), squeeze_planes(counts[a:b])) for s, a, b in told]
 
+    def totals_of(self, keys: np.ndarray, pieces: dict[int, bytes]) -> np.ndarray:
+        """The totals that came back, in the order of the keys."""
+        out = np.empty(len(keys), np.uint64)
+        out[self.order(keys)[0]] = np.concatenate([unsqueeze_planes(pieces[s], np.uint64) for s in sorted(pieces)])
+        return out
 
-def _send(packed: DataFrame, n_slices: int) -> DataFrame:
+
+def _send(packed: DataFrame, words: Exchange, pairs: Exchange) -> DataFrame:
     """(kind, slice, group, keys, counts): what each group sends to each slice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
                 group = Group.of(row)
-                for kind, (keys, counts) in (("word", group.words()), ("pair", group.pairs()[:2])):
-                    place = _slices(keys, n_slices)
-                    order = np.argsort(place, kind="stable")
-                    cut = np.searchsorted(place[order], np.arange(n_slices + 1))
-                    parts = [(s, order[cut[s] : cut[s + 1]]) for s in range(n_slices) if cut[s + 1] > cut[s]]
+                for exchange, (keys, counts) in ((words, group.words()), (pairs, group.pairs()[:2])):
+                    parts = exchange.pieces(keys, counts)
                     yield pa.RecordBatch.from_pydict(
                         {
-                            "kind": [kind] * len(parts), "slice": pa.array([s for s, _ in parts], pa.int32()), "group": [row["group"]] * len(parts),
-                            "keys": [keys[o].tobytes() for _, o in parts], "counts": [squeeze(counts[o].astype(np.uint32)) for _, o in parts],
+                            "kind": [exchange.kind] * len(parts), "slice": pa.array([s for s, _, _ in parts], pa.int32()), "group": [row["group"]] * len(parts),
+                            "keys": [k for _, k, _ in parts], "counts": [n for _, _, n in parts],
                         }
                     )
 
@@ -106,54 +135,49 @@ def _send(packed: DataFrame, n_slices: int) -> DataFrame:
 def _add_up(sent: pa.Table) -> pa.Table:
     """All that was sent to a slice: totals for each group, in its order, and how many keys and tokens have training counts."""
     kind, at = sent.column("kind")[0].as_py(), sent.column("slice")[0].as_py()
-    keys = [np.frombuffer(x.as_py(), np.uint64) for x in sent.column("keys")]
+    keys = [np.cumsum(unsqueeze_planes(x.as_py(), np.uint64), dtype=np.uint64) for x in sent.column("keys")]
     sizes = [len(k) for k in keys]
     every, place = np.unique(np.concatenate(keys), return_inverse=True)
-    counts = np.concatenate([unsqueeze(x.as_py(), np.uint32) for x in sent.column("counts")])
+    counts = np.concatenate([unsqueeze_planes(x.as_py(), np.uint32) for x in sent.column("counts")])
     totals = np.bincount(place, weights=counts, minlength=len(every)).astype(np.uint64)  # exact up to 2^53
     back = np.split(totals[place], np.cumsum(sizes)[:-1])
     proper = totals[every != BEGIN] if kind == "word" else totals
     n = len(back)
     return pa.table(
         {
-            "kind": [kind] * (n + 1), "slice": pa.array([at] * (n + 1), pa.int32()), "group": [*sent.column("group").to_pylist(), None], "totals": [*(squeeze(b) for b in back), None],
+            "kind": [kind] * (n + 1), "slice": pa.array([at] * (n + 1), pa.int32()), "group": [*sent.column("group").to_pylist(), None], "totals": [*(squeeze_planes(b) for b in back), None],
             "distinct": pa.array([None] * n + [int(np.count_nonzero(proper))], pa.int64()), "tokens": pa.array([None] * n + [int(proper.sum())], pa.int64()),
         }
     )
 
 
-def _totals_of(keys: np.ndarray, pieces: dict[int, bytes], n_slices: int) -> np.ndarray:
-    place = _slices(keys, n_slices)
-    out = np.empty(len(keys), np.uint64)
-    for s, piece in pieces.items():
-        out[place == s] = unsqueeze(piece, np.uint64)
-    return out
-
-
-def _counted(packed: DataFrame, totals: DataFrame, n_slices: int) -> DataFrame:
+def _counted(packed: DataFrame, totals: DataFrame, words: Exchange, pairs: Exchange) -> DataFrame:
     """Per group, for each token: the corpus counts of its word and of the bigram that it ends."""
     id_type = packed.schema["ids"].dataType.simpleString()
 
     def meet(groups: pa.Table, pieces: pa.Table) -> pa.Table:
         out = {"ids": [], "flags": [], "lengths": [], "begin": [], "word": [], "pair": []}
-        for row in groups.to_pylist():
-            by = {kind: {p["slice"]: p["totals"] for p in pieces.to_pylist() if p["kind"] == kind} for kind in ("word", "pair")}
+        came: dict[str, dict[int, bytes]] = {words.kind: {}, pairs.kind: {}}
+        for kind, at, blob in zip(*(pieces.column(c).to_pylist() for c in ("kind", "slice", "totals")), strict=True):
+            came[kind][at] = blob
+        for row in groups.to_pylist():  # one row
             group = Group.of(row)
-            words = _totals_of(group.keys, by["word"], n_slices)
+            by_word = words.totals_of(group.keys, came[words.kind])
             keys, _, place = group.pairs()
-            pairs = _totals_of(keys, by["pair"], n_slices)
-            for name, value in (("ids", row["ids"]), ("flags", row["flags"]), ("lengths", row["lengths"]), ("begin", int(words[-1])), ("word", squeeze(words[group.cur])), ("pair", squeeze(pairs[place]))):
+            by_pair = pairs.totals_of(keys, came[pairs.kind])
+            for name, value in (("ids", row["ids"]), ("flags", row["flags"]), ("lengths", row["lengths"]), ("begin", int(by_word[-1])), ("word", squeeze_planes(by_word[group.cur])), ("pair", squeeze_planes(by_pair[place]))):
                 out[name].append(value)
         types = {"ids": groups.schema.field("ids").type, "flags": pa.list_(pa.bool_()), "begin": pa.int64()}
         return pa.table({k: pa.array(v, types.get(k, pa.binary())) for k, v in out.items()})
 
-    return packed.groupBy("group").cogroup(totals.where("group is not null").groupBy("group")).applyInArrow(meet, f"ids {id_type}, flags array<boolean>, lengths binary, begin long, word binary, pair binary")
+    sent = packed.select("group", "ids", "flags", "lengths", "tokens", "vocabulary").groupBy("group")
+    return sent.cogroup(totals.where("group is not null").select("group", "kind", "slice", "totals").groupBy("group")).applyInArrow(meet, f"ids {id_type}, flags array<boolean>, lengths binary, begin long, word binary, pair binary")
 
 
 def token_counts(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(tokens per document, counts of each token's word, predecessor and bigram). The predecessor is the word before, or the beginning."""
     lengths = unsqueeze(row["lengths"], np.int32).astype(np.int64) + 1
-    word, pair = (unsqueeze(row[k], np.uint64).astype(float) for k in ("word", "pair"))
+    word, pair = (unsqueeze_planes(row[k], np.uint64).astype(float) for k in ("word", "pair"))
     context = np.concatenate([[0.0], word[:-1]])
     context[np.cumsum(lengths) - lengths] = row["begin"]
     return lengths, word, context, pair
@@ -205,18 +229,21 @@ def fit_weights(bucket: np.ndarray, two: np.ndarray, one: np.ndarray, weight: np
     return weights
 
 
-def lm_scores(docs: DataFrame, training, id_col: str = "doc_id", text_col: str = "text", group_bytes: int = 5 << 20, slice_bytes: int = 12 << 20) -> DataFrame:
+def lm_scores(docs: DataFrame, training, id_col: str = "doc_id", text_col: str = "text", group_bytes: int = 10 << 20, slice_keys: int = 2_000_000) -> DataFrame:
     """One row per document: id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_token.
 
     training: a boolean column, true for the documents to learn from."""
-    packed = pack_documents(docs, id_col, text_col, "lm-packed", SPACED, ascii_lower_bytes, as_vocabulary, F.coalesce(training, F.lit(True)), group_bytes)
-    size = docs.agg(F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0))).first()[0]
-    n_slices = max(1, -(-size // slice_bytes))
-    totals = _send(packed, n_slices).groupBy("kind", "slice").applyInArrow(_add_up, "kind string, slice int, group string, totals binary, distinct long, tokens long")
+    packed = pack_documents(docs, id_col, text_col, "lm-packed", SPACED, ascii_lower_bytes, as_vocabulary, F.coalesce(training, F.lit(True)), group_bytes, bucketed=True)
+    total = lambda x: F.coalesce(F.sum(x), F.lit(0)).cast("long")
+    n_sent, n_every = packed.agg(total(F.length("vocabulary") / 8 + 2), total(F.col("n_words") + F.size("ids"))).first()
+    words = Exchange("word", n_sent, slice_keys)
+    pairs = Exchange("pair", n_every, slice_keys, min(64, SPARE_BITS + max(16, math.ceil(math.log2(n_every + 1)))))
+    totals = _send(packed, words, pairs).groupBy("kind", "slice").applyInArrow(_add_up, "kind string, slice int, group string, totals binary, distinct long, tokens long")
     totals = materialize(totals, "lm-totals")
-    known = totals.where("group is null and kind = 'word'").agg(F.coalesce(F.sum("distinct"), F.lit(0)), F.coalesce(F.sum("tokens"), F.lit(0))).first()
+    known = totals.where("group is null and kind = 'word'").agg(total("distinct"), total("tokens")).first()
     n_words, n_tokens = int(known[0]), int(known[1])
-    counted = materialize(_counted(packed, totals, n_slices), "lm-counted")
+    counted = materialize(_counted(packed, totals, words, pairs), "lm-counted")
+    discard(packed, totals)
     cells = counted.mapInArrow(lambda batches: _histogram(batches, n_tokens), "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
     code, weight = cells.column("code").to_numpy(), cells.column("n").to_numpy()
     mixture = fit_weights(code >> 40, _share((code >> 20) & 0xFFFFF), _share(code & 0xFFFFF), weight, 1.0 / (n_words + 1))

@@ -34,6 +34,17 @@ def unsqueeze(blob: bytes, kind: type) -> np.ndarray:
     return np.frombuffer(zstandard.decompress(blob), kind)
 
 
+def squeeze_planes(a: np.ndarray) -> bytes:
+    """Compressed byte by byte place: first the lowest bytes of all numbers, then the next ones. Small numbers cost little more than their information."""
+    planes = np.ascontiguousarray(a).view(np.uint8).reshape(-1, a.dtype.itemsize).T
+    return zstandard.compress(np.ascontiguousarray(planes).tobytes(), 1)
+
+
+def unsqueeze_planes(blob: bytes, kind: type) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(blob), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(planes.T).reshape(-1).view(kind)
+
+
 def ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Concatenated ranges start .. start + size."""
     ends = np.cumsum(sizes)
@@ -97,11 +108,11 @@ def lower_bytes(text: str | None) -> bytes:
 
 
 def pack_documents(
-    docs: DataFrame, id_col: str, text_col: str, label: str, in_word: np.ndarray, bytes_of: Callable[[str | None], bytes], encode: Callable[[np.ndarray], dict[str, bytes]], flag: Column | None = None, group_bytes: int = 3 << 20
+    docs: DataFrame, id_col: str, text_col: str, label: str, in_word: np.ndarray, bytes_of: Callable[[str | None], bytes], encode: Callable[[np.ndarray], dict[str, bytes]], flag: Column | None = None, group_bytes: int = 3 << 20, bucketed: bool = False,
 ) -> DataFrame:
-    """Groups of documents of about `group_bytes` of text, as a written table: group, ids, flags, lengths and what `encode` makes of the words' hashes.
+    """Groups of documents of about `group_bytes` of text, as a written table: group, ids, flags, n_words, lengths and what `encode` makes of the words' hashes.
 
-    lengths (int32, words per document) are compressed. One group is in memory at a time; a document is never divided."""
+    lengths (int32, words per document) are compressed. bucketed: the table is bucketed by group. One group is in memory at a time; a document is never divided."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, ids, flags, texts, size = WordHasher(in_word), [], [], [], 0
@@ -121,14 +132,14 @@ def pack_documents(
     def packed(hasher: WordHasher, ids: list, flags: list, texts: list[bytes]) -> pa.RecordBatch:
         lengths, hashes = hasher(texts)
         blobs = {"lengths": squeeze(lengths.astype(np.int32)), **encode(hashes)}
-        return pa.RecordBatch.from_arrays([pa.array([ids], pa.list_(kind)), pa.array([flags], pa.list_(pa.bool_())), *(pa.array([b], pa.binary()) for b in blobs.values())], ["ids", "flags", *blobs])
+        return pa.RecordBatch.from_arrays([pa.array([ids], pa.list_(kind)), pa.array([flags], pa.list_(pa.bool_())), pa.array([len(hashes)], pa.int64()), *(pa.array([b], pa.binary()) for b in blobs.values())], ["ids", "flags", "n_words", *blobs])
 
     plain = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"), F.lit(False).alias("f") if flag is None else flag.alias("f"))
     id_type = plain.schema["id"].dataType
     kind = arrow_type(id_type)
     blobs = "".join(f", {name} binary" for name in encode(np.empty(0, np.uint64)))
-    table = plain.mapInArrow(run, f"ids array<{id_type.simpleString()}>, flags array<boolean>, lengths binary{blobs}")
-    return materialize(table.withColumn("group", F.expr("uuid()")), label)  # fixed once written
+    table = plain.mapInArrow(run, f"ids array<{id_type.simpleString()}>, flags array<boolean>, n_words long, lengths binary{blobs}")
+    return materialize(table.withColumn("group", F.expr("uuid()")), label, "group" if bucketed else None)  # fixed once written
 
 
 def as_hashes(hashes: np.ndarray) -> dict[str, bytes]:
@@ -137,9 +148,12 @@ def as_hashes(hashes: np.ndarray) -> dict[str, bytes]:
 
 
 def as_vocabulary(hashes: np.ndarray) -> dict[str, bytes]:
-    """Each word's place (int32) in the group's vocabulary, and the vocabulary's hashes."""
-    vocabulary, place = np.unique(hashes, return_inverse=True)
-    return {"tokens": squeeze(place.astype(np.int32)), "vocabulary": vocabulary.tobytes()}
+    """Each word's place (int32) in the group's vocabulary, and the vocabulary's hashes, the commonest words first."""
+    vocabulary, place, counts = np.unique(hashes, return_inverse=True, return_counts=True)
+    order = np.argsort(-counts, kind="stable")
+    rank = np.empty(len(order), np.int32)
+    rank[order] = np.arange(len(order), dtype=np.int32)
+    return {"tokens": squeeze_planes(rank[place]), "vocabulary": vocabulary[order].tobytes()}
 
 
 def arrow_type(spark_type: DataType) -> pa.DataType:

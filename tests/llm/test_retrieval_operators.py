@@ -1,5 +1,7 @@
 """Toxicity and decontamination, and the pipeline."""
 
+import binascii
+import math
 import random
 import re
 
@@ -17,26 +19,69 @@ from tidemark.llm.packing import LETTERS, WordHasher, as_hashes, lower_bytes, sq
 @pytest.mark.parametrize("seed", range(8))
 def test_index_is_exact(seed):
     rng = np.random.default_rng(seed)
-    vectors = []
-    for _ in range(rng.integers(0, 300)):
-        terms = np.sort(rng.choice(40, rng.integers(1, 8), replace=False))
-        weights = rng.choice([0.5, 1.0, 2.0], len(terms))  # many ties
-        vectors.append((terms, weights / np.linalg.norm(weights)))
-    index = T.BlockMaxIndex(vectors, 40, block=16)
-    dense = np.zeros((len(vectors), 40))
-    for k, (t, w) in enumerate(vectors):
-        dense[k, t] = w
+    n = int(rng.integers(0, 300))
+    dense = np.zeros((n, 40))
+    for k in range(n):
+        terms = rng.choice(40, rng.integers(1, 8), replace=False)
+        dense[k, terms] = rng.choice([0.5, 1.0, 2.0], len(terms))  # many ties
+        dense[k] = (dense[k] / np.linalg.norm(dense[k])).astype(np.float32)
+    example, term = np.nonzero(dense)
+    index = T.BlockMaxIndex(example, term, dense[example, term], 40, n, block=16)
     for _ in range(30):
         terms = np.sort(rng.choice(40, rng.integers(1, 6), replace=False))
         weights = rng.random(len(terms))
-        q = np.zeros(40)
-        q[terms] = weights
-        cosine = np.round(dense @ q, 12)
-        brute = sorted(((-c, k) for k, c in enumerate(cosine) if c > 0))[:7]
+        cosine = np.round(dense[:, terms] @ weights, 9)
+        brute = sorted((-c, k) for k, c in enumerate(cosine) if c > 0)[:7]
         found = index.nearest(terms, weights, 7)
         assert [k for _, k in found] == [k for _, k in brute] and np.allclose([s for s, _ in found], [-c for c, _ in brute])
 
 
+def plain_toxicity(rows, labels, k=16, emphasis=5.0, pseudo=20.0):
+    """Scores by the definition, with dictionaries and all cosines: shares no code with the operator. One example per label."""
+    def terms(text):
+        words = [w.encode() for w in re.findall(r"[\w\x80-\uffff]+", (text or "").lower())]
+        found = {}
+        for t in [("w", w) for w in words] + [(n, w[:n]) for n in (4, 6) for w in words if len(w) > n]:
+            found[t] = found.get(t, 0) + 1
+        return found
+
+    counts = [terms(t) for _, t, *_ in rows]
+    text_of = {i: c for (i, *_), c in zip(rows, counts, strict=True)}
+    told = [(i, y) for i, _, y in labels if binascii.crc32(str(i).encode()) % 4 != 2]
+    of_class = [sum(y == c for _, y in told) for c in (0, 1)]
+    examples = sorted((i, y) for i, y in told if i in text_of)
+    stands = [of_class[c] / max(1, sum(y == c for _, y in examples)) for c in (0, 1)]
+    share = of_class[1] / sum(of_class)
+    documents = {}
+    for c in counts:
+        for t in c:
+            documents[t] = documents.get(t, 0) + 1
+    held = {}
+    for i, y in examples:
+        for t in text_of[i]:
+            held.setdefault(t, [0.0, 0.0])[y] += stands[y]
+    weight = {}
+    for t, (clean, toxic) in held.items():
+        mark = max(0.0, ((toxic + pseudo * share) / (clean + toxic + pseudo) - share) / (1 - share))
+        weight[t] = math.log((1 + len(rows)) / (0.5 + documents[t])) * (1 + emphasis * mark)
+
+    def vector(c):
+        raw = {t: (1 + math.log(n)) * weight[t] for t, n in c.items() if t in weight}
+        norm = math.sqrt(sum(w * w for w in raw.values()))
+        return {t: w / norm for t, w in raw.items()}
+
+    vectors = [(vector(text_of[i]), y) for i, y in examples]
+    out = []
+    for c in counts:
+        mine = vector(c)
+        near = sorted(((sum(w * v.get(t, 0.0) for t, w in mine.items()), y) for v, y in vectors), reverse=True)[:k]
+        near = [(s, y) for s, y in near if s > 0]
+        votes = [s * s * stands[y] / max(stands) for s, y in near]
+        prior = 0.05 * min(stands) / max(stands)
+        out.append((sum(v for v, (_, y) in zip(votes, near, strict=True) if y) + prior * share) / (sum(votes) + prior) if near else share)
+    return out
+
+
 def toxic_corpus(n=600, seed=1):
     rng = random.Random(seed)
     vocabulary = ["".join(rng.choice("abcdefghijklm") for _ in range(rng.randint(2, 8))) for _ in range(800)]
@@ -55,13 +100,11 @@ def toxic_corpus(n=600, seed=1):
 def test_toxicity_on_held_out_rows(spark):
     rows, labels = toxic_corpus()
     extra = [(9001, None, "x"), (9002, "", "x"), (9003, "scumbag " * 50_000, "x"), (1, "twice", "x"), (None, "scumbag", "x")]
-    docs = spark.createDataFrame(rows + extra, "doc_id long, text string, _id string")
+    docs = spark.createDataFrame(rows + extra, "doc_id long, text string, id string")
     marks = spark.createDataFrame([*labels, (5, 1, None), (None, 0, 1)], "doc_id long, quality int, toxic int")
     model = T.fit(docs, marks, T.training_fold())
     found = T.toxicity_scores(docs, model).collect()
     assert len(found) == len(rows) + len(extra) and all(0 <= r["score"] <= 1 for r in found)
-    import binascii
-
     truth = {i: y for i, _, y in labels}
     held = [r for r in found if r["doc_id"] in truth and binascii.crc32(str(r["doc_id"]).encode()) % 4 == 2]
     right = sum(r["predicted"] == truth[r["doc_id"]] for r in held)
@@ -72,6 +115,27 @@ def test_toxicity_on_held_out_rows(spark):
     assert left.columns == docs.columns and sorted(map(repr, [r["doc_id"] for r in left.collect()])) == sorted(map(repr, [r["doc_id"] for r in found if not r["predicted"]]))
 
 
+def test_toxicity_scores_are_those_of_all_cosines(spark):
+    rows, labels = toxic_corpus(260, seed=9)
+    rows += [(900, None, ""), (901, "", ""), (902, "ZZZZZ qqqqq", ""), (903, "scumbag, " * 3000, ""), (904, "Ünïcode nastily", "")]
+    found = {r["doc_id"]: r for r in T.toxicity_scores(*(lambda d: (d, T.fit(d, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), T.training_fold())))(spark.createDataFrame(rows, "doc_id long, text string, t string"))).collect()}
+    for (i, *_), score in zip(rows, plain_toxicity(rows, labels), strict=True):
+        assert found[i]["score"] == pytest.approx(score, abs=2e-4), i
+
+
+def test_toxicity_of_the_given_documents(spark):
+    """Held-out rows of a given table: nearly all texts have neighbours, the verdicts are right, and scores are calibrated."""
+    from tidemark.llm.queries import op2_toxicity
+
+    found = op2_toxicity(spark, "/root/testdata/sf0.1").join(spark.read.parquet("/root/testdata/sf0.1/labels.parquet"), "doc_id", "left").toPandas()
+    assert len(found) == 10_000 and (found.near_ids.str.len() > 0).mean() > 0.99
+    held = found[found.held_out & found.toxic.notna()]
+    assert held.predicted[held.toxic == 1].mean() > 0.9 and held.predicted[held.toxic == 0].mean() < 0.03
+    tenth = (held.score * 10).clip(upper=9).astype(int)
+    error = sum(abs(g.score.mean() - g.toxic.mean()) * len(g) for _, g in held.groupby(tenth)) / len(held)
+    assert error < 0.03 and ((held.score - held.toxic) ** 2).mean() < 0.02
+
+
 def test_toxicity_without_labels(spark):
     docs = spark.createDataFrame([(1, "a")], "doc_id long, text string")
     none = spark.createDataFrame([], "doc_id long, toxic int")

@@ -73,19 +73,35 @@ class WordHasher:
 
     def __call__(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(words per text, hashes of all words in order)."""
+        data, start, end, at = self._words(texts)
+        return np.diff(np.searchsorted(start, at)), self._all(data, start, end)
+
+    def _words(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(bytes of all texts, where words start and end, where texts start)."""
         data = np.frombuffer(b" ".join([*texts, b""]), np.uint8)
         inside = self.in_word[data]
         change = np.diff(inside.view(np.int8), prepend=np.int8(0))
-        start, end = np.nonzero(change == 1)[0], np.nonzero(change == -1)[0]
-        at = np.cumsum([0, *(len(t) + 1 for t in texts)])
-        counts = np.diff(np.searchsorted(start, at))
+        return data, np.nonzero(change == 1)[0], np.nonzero(change == -1)[0], np.cumsum([0, *(len(t) + 1 for t in texts)])
+
+    def _all(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         out = np.empty(len(start), np.uint64)
         done = 0
         while done < len(start):  # as many whole words as fit in a span
             upto = max(done + 1, int(np.searchsorted(end, start[done] + SPAN - 1, side="right")))
             out[done:upto] = self._hash(data, start[done:upto], end[done:upto])
             done = upto
-        return counts, out
+        return out
+
+    def terms(self, texts: list[bytes], beginnings: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
+        """(text, hash) of all words, and of the first so many bytes of the words that are longer, as terms of their own."""
+        data, start, end, at = self._words(texts)
+        text = np.searchsorted(at, start, side="right") - 1
+        found = [(text, self._all(data, start, end))]
+        for n in beginnings:
+            longer = np.nonzero(end - start > n)[0]
+            first = start[longer]
+            found.append((text[longer], self._all(data, first, first + n) ^ np.uint64(n * 0x9FB21C651E98DF25 & (1 << 64) - 1)))
+        return np.concatenate([t for t, _ in found]), np.concatenate([h for _, h in found])
 
     def _hash(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         low, n = int(start[0]), int(end[-1] - start[0])

@@ -52,11 +52,3 @@ def test_filter_keeps_columns_and_one_of_repeated_rows(spark):
     kept = drop_exact_duplicates(docs(spark, ROWS))
     assert kept.columns == ["doc_id", "text", "lang", "h", "n"]
     assert sorted([(r["doc_id"], len(r["text"] or "")) for r in kept.collect()], key=repr) == sorted([(1, 3), (3, 4), (4, 0), (6, 1), (7, 1), (None, 4), (8, 300_000), (1, 5)], key=repr)
-
-
-def test_rows_left_out_alike_with_and_without_broadcast(spark):
-    from tidemark.llm.common import without
-
-    df, going = spark.range(100).withColumn("t", F.lit("x")), spark.range(0, 100, 3).select(F.col("id").alias("_id"))
-    for limit in (0, 1000):
-        assert sorted(r["id"] for r in without(df, going, F.col("id").eqNullSafe(F.col("_id")), limit).collect()) == [i for i in range(100) if i % 3]

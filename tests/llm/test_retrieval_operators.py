@@ -185,7 +185,7 @@ def test_contamination(spark):
     docs, items, truth = prose(4, 240, 40)
     extra = [(900, None), (901, ""), (None, items[3][1].upper()), (5, "5 again"), (902, "the of and " * 20_000)]
     df = spark.createDataFrame([(*r, "c") for r in docs + extra], "doc_id long, text string, items string")
-    bench = spark.createDataFrame([*items, (77, None), (78, "too short")], "item_id long, text string")
+    bench = spark.createDataFrame([*items, (77, None), (78, "too short"), (79, "")], "item_id long, text string")
     found = [(r["doc_id"], r["items"]) for r in D.contaminated(df, bench).collect()]
     assert len(found) == len(docs) + len(extra)
     by = dict(x for x in found if x[0] not in (5, None))
@@ -194,10 +194,37 @@ def test_contamination(spark):
             assert by[d] == ([] if held is None else [held]), d
     assert by[900] == by[901] == by[902] == [] and (None, [3]) in found
     left = D.drop_contaminated(df, bench)
-    assert left.columns == df.columns and {r["doc_id"] for r in left.collect()} == {d for d, i in found if not i}
+    assert left.columns == df.columns and sorted(r["doc_id"] for r in left.collect()) == sorted(d for d, i in found if not i)
+    in_parts = {(r["doc_id"], tuple(r["items"])) for r in D.contaminated(df, bench, max_items=12).collect()}
+    assert in_parts == {(d, tuple(i)) for d, i in found}
+    assert sorted(r["doc_id"] for r in D.drop_contaminated(df, bench, max_items=12).collect()) == sorted(d for d, i in found if not i)
     assert D.contaminated(df, bench.limit(0)).where("contaminated").count() == 0 and D.contaminated(df.limit(0), bench).count() == 0
-    with pytest.raises(ValueError):
-        D.contaminated(df, bench, max_items=3)
+
+
+def test_short_items_and_tails(spark):
+    """Items of fewer than eight words are matched exactly, next to their answer if they have one; long items have no tail that is left out."""
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    long = [word() for _ in range(260)]
+    items = [(1, "Who wrote Hamlet?", None), (2, "capital of France", "Paris"), (3, " ".join(long), None), (4, "one two three four five six seven", None), (5, "capital of France", None)]
+    texts = ["well: who wrote hamlet, then", "who then wrote hamlet", "Paris is the capital of France", "capital of France it is", " ".join(long[140:]), " ".join(long[245:]), "x one two three four five six", "one two three FOUR five six seven", "who wrote", "hamlet who", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    bench = spark.createDataFrame(items, "item_id long, text string, answer string")
+    found = {r["doc_id"]: (r["items"], r["overlap"]) for r in D.contaminated(df, bench, answer_col="answer").collect()}
+    assert {d: i for d, (i, _) in found.items()} == {0: [1], 1: [], 2: [2, 5], 3: [5], 4: [3], 5: [], 6: [], 7: [4], 8: [], 9: [], 10: []}
+    assert found[0][1] == 1.0 and found[4][1] >= 0.9
+    assert {r["doc_id"] for r in D.drop_contaminated(df, bench, answer_col="answer").collect()} == {1, 5, 6, 8, 9, 10}
+
+
+def test_overlap_is_the_largest_share(spark):
+    rng = random.Random(4)
+    vocabulary = ["".join(rng.choice("abcdefghijklmnop") for _ in range(7)) for _ in range(900)]
+    item = rng.choices(vocabulary, k=40)
+    near = [w if k != 5 else "other" for k, w in enumerate(item)]
+    texts = [" ".join(near + rng.choices(vocabulary, k=300) + item), " ".join(rng.choices(vocabulary, k=90) + near)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    assert {r["doc_id"]: r["overlap"] for r in D.contaminated(df, bench).collect()} == {0: 1.0, 1: 39 / 40}
 
 
 def test_cosine_search_recall(spark):
@@ -212,7 +239,7 @@ def test_cosine_search_recall(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     packed = D.pack_documents(df, "doc_id", "text", "recall", LETTERS, lower_bytes, as_hashes)
     basis = D.latent_basis(packed, 96, dims, 50_000)
-    items = D.item_parts([(t, None) for t in bench], 8)
+    items, _ = D.item_parts([(t, None) for t in bench], 8)
     frequency, passages = D._frequencies(packed, dims)
     idf = np.log((1 + passages) / (1 + frequency)) + 1e-3
     blocks = np.zeros((group.n_blocks + 1, basis.shape[1]))

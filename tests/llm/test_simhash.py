@@ -147,3 +147,37 @@ def test_links_are_those_of_the_shingle_sets(spark, set_bytes):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     found = {r["doc_id"]: r["component_id"] for r in S.near_duplicates(df, set_bytes=set_bytes).collect()}
     assert len(links) > 40 and found == {r[0]: lowest[g] for r, g in zip(rows, group, strict=True)}
+
+
+def test_recall_at_the_similarity(spark):
+    """Of all pairs of given documents that share 0.8 of their shingles, found by an exact join of shingle sets, at least 0.9 end up in one class; no other classes are joined."""
+    import collections
+    import math
+
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    rows = docs.collect()
+    sets = [frozenset(shingle_set(r["text"] or "")) for r in rows]
+    often = collections.Counter(x for s in set(sets) for x in s)
+    seen, links, first = collections.defaultdict(list), [], {}
+    for k, own in enumerate(sets):
+        if own in first:
+            links.append((first[own], k))
+            continue
+        first[own] = k
+        rarest = sorted(own, key=lambda x: (often[x], x))[: len(own) - math.ceil(0.8 * len(own)) + 1]
+        for j in {j for x in rarest for j in seen[x]}:
+            if len(own & sets[j]) >= 0.8 * len(own | sets[j]):
+                links.append((j, k))
+        for x in rarest:
+            seen[x].append(k)
+    group = components(len(rows), links)
+    found = {r["doc_id"]: r["component_id"] for r in S.near_duplicates(docs).collect()}
+    near = [(i, j) for i, j in links if sets[i] != sets[j]]
+    together = sum(found[rows[i]["doc_id"]] == found[rows[j]["doc_id"]] for i, j in near)
+    assert len(near) > 30 and together >= 0.9 * len(near)
+    classes = collections.defaultdict(set)
+    for k, r in enumerate(rows):
+        classes[found[r["doc_id"]]].add(group[k])
+    apart = sum(len(c) > 1 for c in classes.values())
+    print(f"{len(near)} pairs, {together} found, {apart} classes joined beyond")
+    assert apart == 0

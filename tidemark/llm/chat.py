@@ -14,7 +14,8 @@ Scale. `format_turns` works row by row: no shuffle, and no conversation is gathe
 `read_back`, which deals turns by conversation, sorts each partition and streams over it with running digests, so
 a conversation may have any number of turns (a SHA-256 over a conversation can only be taken in order, by one task).
 
-Defined results. Null text is empty, null role an empty role, null or malformed parts are text. Turns of equal number keep
+Defined results. Null text is empty, null role an empty role; malformed parts, or parts nested deeper than the JSON reader goes, are text; sizes that are no
+numbers up to 10^9 say nothing. Texts of any length stay whole; other columns, whatever their names, are not read; an empty table gives an empty result. Turns of equal number keep
 all their rows, ordered by role and then formatted text; a null turn comes first; null conversation ids form one conversation."""
 
 from __future__ import annotations
@@ -56,16 +57,19 @@ class PartVisitor:
         self.attachments: list[dict] = []
 
     def visit(self, part: object) -> None:
-        if isinstance(part, list):
-            for x in part:
-                self.visit(x)
-        elif isinstance(part, dict):
-            getattr(self, f"visit_{part.get('type')}", self.visit_other)(part)
-        elif part is not None:
-            self.body.append(escape(str(part)))
-
-    def visit_text(self, part: dict) -> None:
-        self.visit(part.get("text"))
+        """Visits a part and, in its place, what its visit leaves to be visited: with a stack, so parts may nest to any depth."""
+        waiting = [part]
+        while waiting:
+            part = waiting.pop()
+            if isinstance(part, list):
+                waiting += reversed(part)
+            elif isinstance(part, dict):
+                waiting.append({"text": self.visit_text, "image": self.visit_image, "audio": self.visit_audio, "document": self.visit_document}.get(_told(part.get("type")), self.visit_other)(part))
+            elif part is not None:
+                self.body.append(escape(_told(part)))
+
+    def visit_text(self, part: dict) -> object:
+        return part.get("text")
 
     def visit_image(self, part: dict) -> None:
         wide, high = _number(part.get("width")), _number(part.get("height"))
@@ -74,11 +78,11 @@ class PartVisitor:
     def visit_audio(self, part: dict) -> None:
         self.attach("audio", part, max(1, math.ceil(_number(part.get("seconds")) * AUDIO_TOKENS)))
 
-    def visit_document(self, part: dict) -> None:
+    def visit_document(self, part: dict) -> object:
         """The placeholder, then the document's own parts, if it has any, in place of its pages."""
         inner = part.get("parts")
         self.attach("document", part, 0 if inner else max(1, math.ceil(_number(part.get("pages"))) * PAGE_TOKENS))
-        self.visit(inner)
+        return inner
 
     def visit_other(self, part: dict) -> None:
         self.attach("other", part, 0)
@@ -86,18 +90,33 @@ class PartVisitor:
     def attach(self, kind: str, part: dict, tokens: int) -> None:
         at = len(self.attachments)
         ref = part.get("ref", part.get("url"))
-        self.attachments.append({"position": at, "kind": kind, "ref": None if ref is None else str(ref), "tokens": tokens})
+        self.attachments.append({"position": at, "kind": kind, "ref": None if ref is None else _told(ref), "tokens": tokens})
         self.body.append(f"<{kind} {at}>")
 
 
+#: A size beyond this says nothing, like one that is no number.
+MOST_SIZE = 10**9
+SURROGATE = re.compile("[\ud800-\udfff]")
+
+
 def _number(value: object) -> float:
-    return float(value) if isinstance(value, int | float) and math.isfinite(value) and value > 0 else 0.0
+    return float(value) if isinstance(value, int | float) and 0 < value <= MOST_SIZE else 0.0
+
+
+def _told(value: object) -> str:
+    """Text of a JSON value; halves of surrogate pairs, which no UTF-8 can hold, become U+FFFD."""
+    if not isinstance(value, str):
+        try:
+            value = json.dumps(value) if isinstance(value, dict | list) else str(value)
+        except (ValueError, RecursionError):  # a number of too many digits, or nesting beyond what JSON can write
+            value = "..."
+    return SURROGATE.sub("\ufffd", value)
 
 
 def _parts(raw: str | None) -> object:
     try:
         return json.loads(raw) if raw else None
-    except ValueError:
+    except (ValueError, RecursionError):
         return raw
 
 

@@ -5,9 +5,12 @@ from __future__ import annotations
 import string
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: A word is a maximal run of characters other than space, tab, line feed, vertical tab, form feed, return.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -101,11 +104,27 @@ def lookup_join(rows: DataFrame, unique: DataFrame, key: str, count: str, total:
     return salted.join(entries, [key, "_salt"], how).drop("_salt")
 
 
-#: A list of rows to leave out is broadcast up to this many rows, counted first; beyond it the join is by shuffle.
-BROADCAST_ROWS = 1_000_000
+def quoted(column: str) -> Column:
+    return F.col("`" + column.replace("`", "``") + "`")
 
 
-def without(docs: DataFrame, going: DataFrame, same: Column, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """The rows of docs that match no row of `going`: documents stay where they are while the list is short enough to broadcast."""
-    going = materialize(going, "going")
-    return docs.join(F.broadcast(going) if going.count() <= broadcast_rows else going, same, "left_anti")
+def whole_rows(df: DataFrame, **helpers: Column) -> DataFrame:
+    """(row, helpers...): all columns of a row in one struct, so that no helper can clash with them, whatever their names."""
+    return df.select(F.struct(*[quoted(c) for c in df.columns]).alias("row"), *[value.alias(name) for name, value in helpers.items()])
+
+
+def taken_apart(df: DataFrame, columns: list[str], **added: Column) -> DataFrame:
+    """The columns of `row` again; added columns take the place of those with their name."""
+    kept = [F.col("row").getField(c).alias(c) for c in columns if c not in added]
+    return df.select(*kept, *[value.alias(name) for name, value in added.items()])
+
+
+def row_key(id_: Column, digest: Column) -> Column:
+    """Id and digest of a row as text; null ids are equal to each other and to nothing else."""
+    return F.concat(F.when(id_.isNull(), F.lit("-")).otherwise(F.concat(F.lit("+"), id_.cast("string"))), F.lit(":"), digest.cast("string"))
+
+
+def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> DataFrame:
+    """mapInArrow with the same columns before and after, whatever their names (it takes none with a dot): run sees them numbered."""
+    numbered = T.StructType([T.StructField(f"c{k}", f.dataType, f.nullable) for k, f in enumerate(df.schema.fields)])
+    return df.toDF(*numbered.names).mapInArrow(run, numbered).toDF(*df.columns)

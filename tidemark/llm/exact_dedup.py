@@ -19,10 +19,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lookup_join, lower_ascii, materialize, without
+from .common import lookup_join, lower_ascii, materialize, quoted, row_key, taken_apart, whole_rows
 
-#: Repeated hashes are broadcast for the second read up to this many (about 32 bytes each); beyond it they are joined by shuffle.
-BROADCAST_HASHES = 500_000
+#: Repeated hashes are broadcast for the second read up to this many, as numbers (some 16 MB to a million); beyond it they are joined by shuffle.
+BROADCAST_HASHES = 2_000_000
 
 
 def content_hash(text: Column) -> Column:
@@ -47,9 +47,9 @@ def exact_dedup(
     total, repeated = groups.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("n") > 1)).first()
     result = lookup_join(hashed, groups, "h", "n", total, ["id"], "inner")
     if repeated:
-        keys = groups.where("n > 1").select(F.col("h").alias("k"))
+        keys = groups.where("n > 1").select(F.xxhash64("h").alias("k")).distinct()  # two hashes that share a number are both read
         keys = F.broadcast(keys) if repeated <= broadcast_hashes else keys
-        texts = normal.withColumn("h", hash_of(F.col("t"))).join(keys, F.col("h") == F.col("k"), "left_semi")
+        texts = normal.withColumn("h", hash_of(F.col("t"))).join(keys, F.xxhash64("h") == F.col("k"), "left_semi")
         collided = materialize(texts.groupBy("h").agg(F.min("t").alias("a"), F.max("t").alias("b")).where("a <> b").select("h"), "dedup-collisions")
         if not collided.isEmpty():
             result = _split_collisions(normal, hash_of, result, collided, best)
@@ -61,18 +61,17 @@ def exact_dedup(
 def _split_collisions(normal: DataFrame, hash_of, result: DataFrame, collided: DataFrame, best) -> DataFrame:
     """Rows of the collided hashes, grouped by their bytes; the other rows as they are."""
     rows = materialize(normal.withColumn("h", hash_of(F.col("t"))).join(collided, "h", "left_semi"), "dedup-collided")
-    by_bytes = rows.groupBy("h", "t").agg(best("id").alias("keep_id"), F.count("*").alias("n"))
-    mended = rows.join(by_bytes, ["h", "t"]).select("h", "id", F.sha2("t", 256).alias("sha"), "keep_id", "n")
+    rows = rows.withColumn("sha", F.sha2("t", 256))
+    by_bytes = rows.groupBy("t").agg(best("id").alias("keep_id"), F.count("*").alias("n"))  # combined map-side
+    mended = lookup_join(rows, by_bytes, "t", "n", rows.count(), ["id"], "inner").select("h", "id", "sha", "keep_id", "n")
     return result.join(collided, "h", "left_anti").select("h", "id", "sha", "keep_id", "n").unionByName(mended)
 
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "min") -> DataFrame:
-    """The documents without the rows that exact_dedup drops, with their own columns."""
-    found = materialize(exact_dedup(docs, id_col, text_col, keep), "dedup-result")
-    going = found.where("not kept").select(F.col(id_col).alias("_id"), F.col("text_sha256").alias("_sha")).distinct()
-    marked = docs.withColumn("_sha_own", F.sha2(lower_ascii(F.coalesce(F.col(text_col), F.lit(""))), 256))
-    left = without(marked, going, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_sha_own") == F.col("_sha")))
-    kept = found.where("kept")
-    if kept.count() != kept.select(id_col, "text_sha256").distinct().count():  # the same id and text several times
-        left = left.dropDuplicates([id_col, "_sha_own"])
-    return left.drop("_sha_own")
+    """One row of each group of equal texts, with its own columns: of the id that exact_dedup keeps, and of rows that repeat id and text any one.
+
+    Rows are dealt by id and text, which never gathers a group of copies under different ids; rows that repeat both meet map-side first. The same plan at any size."""
+    kept = exact_dedup(docs, id_col, text_col, keep).where("kept").select(row_key(F.col(id_col), F.col("text_sha256")).alias("key")).distinct()
+    sha = F.sha2(lower_ascii(F.coalesce(quoted(text_col), F.lit(""))), 256)
+    rows = whole_rows(docs, key=row_key(quoted(id_col), sha)).join(materialize(kept, "dedup-kept").hint("shuffle_hash"), "key", "left_semi")
+    return taken_apart(rows.groupBy("key").agg(F.first("row").alias("row")), docs.columns)

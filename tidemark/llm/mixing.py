@@ -12,7 +12,7 @@ Scale. Texts are read once, to count words. A shard has about `docs_per_shard` d
 all rows is many shards and no window sorts more than a shard. Quotients are ranked only near the threshold: a few
 per source or shard, however many blocks there are. The one window over all sources has a row per source.
 
-Defined results. A null text has size 0; a null source is a source of its own, last in order. Sources whose words are
+Defined results. A null text has size 0; texts of any length are counted whole; other columns, whatever their names, are not read (`take_mix` returns them); a null source is a source of its own, last in order. Sources whose words are
 none get target 0. Repeated rows are separate documents. Empty table: empty result."""
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import lookup_join, materialize, word_count
+from .common import lookup_join, materialize, quoted, row_key, taken_apart, whole_rows, word_count
 
 
 def sainte_lague(parties: DataFrame, group: str, key: str, votes: str, seats: str) -> DataFrame:
@@ -71,7 +71,7 @@ def mix_sources(
 
     Sources in order of code point, null last, weigh `weights`, repeating. Sources are broadcast up to
     `broadcast_sources` of them, otherwise joined by shuffle with hot sources spread."""
-    base = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"))
+    base = docs.select(F.col(id_col).alias("id"), quoted(source_col).cast("string").alias("source"), word_count(quoted(text_col)).alias("size"))
     base = materialize(base.withColumn("key", F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n"))), "mix-sizes")
     sources = base.groupBy("key", "source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs"))
     sources = source_targets(sources, weights, max_repeat).withColumn("key", F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n")))
@@ -98,11 +98,13 @@ def mix_sources(
 
 
 def take_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
-    """The documents of which the mix takes any words: their columns, mix_size, mix_target and mix_taken.
+    """The documents of which the mix takes any words: their columns, mix_size, mix_target and mix_taken (which replace columns of these names).
 
     Rows with the same id, source and size are each taken as often as the most taken of them."""
+    key = lambda id_, source, size: F.concat(row_key(source, size), F.lit(":"), row_key(id_, size))
     mixed = mix_sources(docs, id_col, text_col, source_col, **options).where("taken > 0")
-    mixed = mixed.groupBy(F.col(id_col).alias("_id"), F.col(source_col).alias("_source"), "size").agg(F.max("target").alias("mix_target"), F.max("taken").alias("mix_taken"))
-    sized = docs.withColumn("mix_size", word_count(F.col(text_col)))
-    same = F.col(id_col).eqNullSafe(F.col("_id")) & F.col(source_col).eqNullSafe(F.col("_source")) & (F.col("mix_size") == F.col("size"))
-    return sized.join(mixed, same).drop("_id", "_source", "size")
+    mixed = mixed.select(key(quoted(id_col), quoted(source_col), F.col("size")).alias("key"), "target", "taken").groupBy("key").agg(F.max("target").alias("target"), F.max("taken").alias("taken"))
+    sized = whole_rows(docs, size=word_count(quoted(text_col)))
+    sized = sized.withColumn("key", key(F.col("row").getField(id_col), F.col("row").getField(source_col).cast("string"), F.col("size")))
+    joined = sized.join(materialize(mixed, "mix-taken").hint("shuffle_hash"), "key")
+    return taken_apart(joined, docs.columns, mix_size=F.col("size"), mix_target=F.col("target"), mix_taken=F.col("taken"))

@@ -8,27 +8,32 @@ within `window` words of e / documents with t. A term near an entity, seen with
 `remove_from`.
 
 Scale. One pass over the texts finds base spans and, for the texts that have any, the terms around them; this table is
-written once. Pair counts are combined map-side. Only terms that reach the support are counted over the corpus: a
-second pass counts them by a set in memory, `terms_a_pass` terms at a time, so memory is bounded and no term is left out.
+written once. Pair counts are combined map-side. A second pass counts the terms that reach the support over the corpus, however many they are, by a bitmap of fixed size and
+counts that leave the task when there are many. A pair that stands in a third of all texts is spread when its verdict is looked up.
 Texts are never shuffled.
 
-Defined results. Null text is empty. Rows with equal ids each get their own result. All offsets are code points."""
+Defined results. Null text is empty. Rows with equal ids each get their own result. Texts of any length are read whole; the window is counted in words, however long they or the gaps between them are. All offsets are code points.
+Other columns, whatever their names, are not read. Empty table: empty result."""
 
 from __future__ import annotations
 
 import hashlib
 import re
 import uuid
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from itertools import accumulate
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import lookup_join, materialize, quoted
 
+#: Places of the bitmap of wanted terms, and how many words or counts a task remembers.
+PLACES, REMEMBERED = 1 << 20, 200_000
 KINDS = ("email", "ip", "card", "phone")
 #: Possessive runs and look-behinds only save time on long runs: no match begins inside a run of its first class.
 IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
@@ -87,20 +92,19 @@ def entity_of(kind: int, value: str) -> str:
 
 def surroundings(text: str, spans: list[tuple[int, int, int]], window: int) -> list[dict]:
     """The terms within `window` words of each base span, outside all spans: term, entity, offsets, digest of the surroundings."""
+    words = [m.span() for m in TERM.finditer(text)]
+    begins, ends = [a for a, _ in words], [b for _, b in words]
     starts = [a for a, _, _ in spans]
     reached = list(accumulate((b for _, _, b in spans), max))  # the furthest end so far
     found: dict[tuple[str, str, int], dict] = {}
     for start, kind, end in spans:
         entity = entity_of(kind, text[start:end])
-        reach = 24 * window  # characters looked at on each side; words are taken from them
-        low, high = max(0, start - reach), min(len(text), end + reach)
-        before = list(TERM.finditer(text, low, start))[-window:]
-        after = list(TERM.finditer(text, end, high))[:window]
-        near = [m for m in before + after if not (k := bisect_left(starts, m.end())) or reached[k - 1] <= m.start()]
-        near = [m for m in near if not (m.start() == low and low and text[low - 1].isalpha()) and not (m.end() == high and high < len(text) and text[high].isalpha())]
-        digest = int.from_bytes(hashlib.blake2b(" ".join(m[0].lower() for m in near).encode(), digest_size=8).digest(), "big", signed=True)
-        for m in near:
-            found.setdefault((m[0].lower(), entity, m.start()), {"term": m[0].lower(), "entity": entity, "start": m.start(), "end": m.end(), "surroundings": digest})
+        before, after = bisect_right(ends, start), bisect_left(begins, end)  # words that end before the span, and that begin behind it
+        near = words[max(0, before - window) : before] + words[after : after + window]
+        near = [(a, b, text[a:b].lower()) for a, b in near if not (k := bisect_left(starts, b)) or reached[k - 1] <= a]
+        digest = int.from_bytes(hashlib.blake2b(" ".join(t for _, _, t in near).encode(), digest_size=8).digest(), "big", signed=True)
+        for a, b, term in near:
+            found.setdefault((term, entity, a), {"term": term, "entity": entity, "start": a, "end": b, "surroundings": digest})
     return list(found.values())
 
 
@@ -127,31 +131,43 @@ def _first_pass(docs: DataFrame, id_col: str, text_col: str, window: int) -> Dat
     return plain.mapInArrow(run, f"row binary, id {plain.schema['id'].dataType.simpleString()}, base array<{SPAN_TYPE}>, near array<{NEAR_TYPE}>")
 
 
-def _term_documents(docs: DataFrame, text_col: str, terms: DataFrame, n_terms: int, terms_a_pass: int) -> DataFrame:
-    """(term, documents) for the given terms over all texts; each pass counts as many terms as fit in memory."""
-    passes = -(-n_terms // terms_a_pass)
-    counted = None
-    for k in range(passes):
-        part = terms if passes == 1 else terms.where(F.pmod(F.xxhash64("term"), F.lit(passes)) == k)
-        wanted = frozenset(r[0] for r in part.collect())  # about terms_a_pass terms
+def _term_documents(docs: DataFrame, text_col: str, terms: DataFrame) -> DataFrame:
+    """(term, documents) for the given terms over all texts, in one pass.
 
-        def run(batches: Iterator[pa.RecordBatch], wanted: frozenset = wanted) -> Iterator[pa.RecordBatch]:
-            counts: dict[str, int] = {}
-            for batch in batches:
-                for value in batch.column(0):
-                    for term in wanted.intersection(TERM.findall((value.as_py() or "").lower())):
+    A bitmap of fixed size over the terms' hashes says which words may be wanted; tasks count those, and the join with the terms leaves out the others.
+    The more terms, the more words pass the bitmap; a task's counts go out whenever there are `REMEMBERED` of them, so memory is bounded."""
+    places = terms.select(F.pmod(F.xxhash64("term"), F.lit(PLACES)).alias("p")).distinct().toArrow().column("p").to_numpy()  # PLACES rows at most
+    bitmap = np.zeros(PLACES, np.uint8)
+    bitmap[places] = 1
+    packed = np.packbits(bitmap).tobytes()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted, known, counts = np.unpackbits(np.frombuffer(packed, np.uint8)).tobytes(), {}, {}
+        for batch in batches:
+            for value in batch.column(0):
+                for term in set(TERM.findall((value.as_py() or "").lower())):
+                    may = known.get(term)
+                    if may is None:
+                        if len(known) >= REMEMBERED:
+                            known.clear()
+                        may = known[term] = wanted[xxhash.xxh64_intdigest(term, 42) % PLACES]
+                    if may:
                         counts[term] = counts.get(term, 0) + 1
-            yield pa.RecordBatch.from_pydict({"term": pa.array(list(counts), pa.string()), "n": pa.array(list(counts.values()), pa.int64())})
+                if len(counts) >= REMEMBERED:
+                    yield out(counts)
+                    counts = {}
+        yield out(counts)
+
+    def out(counts: dict[str, int]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pydict({"term": pa.array(list(counts), pa.string()), "n": pa.array(list(counts.values()), pa.int64())})
 
-        partial = docs.select(F.col(text_col).alias("t")).mapInArrow(run, "term string, n long")
-        counts = partial.groupBy("term").agg(F.sum("n").alias("documents"))
-        counted = counts if counted is None else counted.unionByName(counts)
-    return counted
+    partial = docs.select(quoted(text_col).alias("t")).mapInArrow(run, "term string, n long")
+    return partial.groupBy("term").agg(F.sum("n").alias("documents")).join(terms, "term", "left_semi")
 
 
 def find_pii(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 10, min_support: int = 3,
-    generalise_from: float = 0.8, remove_from: float = 0.95, terms_a_pass: int = 200_000,
+    generalise_from: float = 0.8, remove_from: float = 0.95,
 ) -> DataFrame:
     """One row per document: id, base (spans), added (spans of revealing terms: kind generalise or remove)."""
     first = materialize(_first_pass(docs, id_col, text_col, window), "pii-base")
@@ -160,18 +176,17 @@ def find_pii(
     once = near.groupBy("term", "entity", "row").agg(F.min("surroundings").alias("surroundings"))
     pairs = once.groupBy("term", "entity", "surroundings").agg(F.count("*").alias("n")).groupBy("term", "entity").agg(F.sum("n").alias("together"), F.count("*").alias("support"))
     pairs = materialize(pairs.where(F.col("support") >= min_support), "pii-pairs")
-    terms = pairs.select("term").distinct()
-    n_terms = terms.count()
+    documents = materialize(_term_documents(docs, text_col, pairs.select("term").distinct()), "pii-terms")
     result = first.select("row", "id", "base")
-    if not n_terms:
-        return result.select(F.col("id").alias(id_col), "base", F.expr(f"cast(array() as array<{SPAN_TYPE}>)").alias("added"))
-    documents = materialize(_term_documents(docs, text_col, terms, n_terms, terms_a_pass), "pii-terms")
     holders = near.select("entity", "row").distinct().groupBy("entity").agg(F.count("*").alias("holders"))
     counted = pairs.join(documents, "term").join(holders, "entity")
     known = F.greatest(F.lit(0.0), F.log2(F.least(F.lit(1.0), F.col("together") / F.col("documents")) * n_docs / F.col("holders"))) / F.log2(F.lit(float(n_docs)) / F.col("holders"))
     told = counted.where(F.col("holders") < n_docs).withColumn("disclosure", known).where(F.col("disclosure") >= generalise_from)
-    told = told.select("term", "entity", F.when(F.col("disclosure") >= remove_from, F.lit("remove")).otherwise(F.lit("generalise")).alias("kind"))
-    spans = near.join(told, ["term", "entity"]).groupBy("row", "start", "end").agg(F.max("kind").alias("kind"))  # of two kinds the stronger
+    pair = F.concat("term", F.lit("\n"), "entity")
+    told = told.select(pair.alias("pair"), "together", F.when(F.col("disclosure") >= remove_from, F.lit("remove")).otherwise(F.lit("generalise")).alias("kind"))
+    told = materialize(told, "pii-told")
+    near = near.select(pair.alias("pair"), "row", "start", "end")
+    spans = lookup_join(near, told, "pair", "together", n_docs, ["row"], "inner").groupBy("row", "start", "end").agg(F.max("kind").alias("kind"))  # of two kinds the stronger
     spans = spans.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "end", "kind"))).alias("s"))
     spans = spans.select("row", F.transform("s", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))).alias("added"))
     joined = result.join(spans, "row", "left")

@@ -3,7 +3,7 @@
 Candidates are runs of 16 or more key characters that hold a digit or stand behind a word such as "password"; the name in
 `SOME_SECRET_NAME = value` is none. So are quoted or unspaced values of 6 or more characters behind a secret word and = or :, if no such
 run is found in them; these are numbered after the runs. The forest looks at length, character classes and the transitions between them, coverage by
-dictionary words, the path and the neighbouring words (the 48 characters before, whatever they are), and is trained from labelled findings. It removes false positives: checksums, commit ids, identifiers, numbers, placeholders.
+dictionary words, the path and the neighbouring words (the 48 characters before, whatever they are, and the rest of the line among the 24 after), and is trained from labelled findings. It removes false positives: checksums, commit ids, identifiers, numbers, placeholders.
 
 Training. `labelled_findings` makes a labelled table from the kinds of findings that a reviewer meets (fixed
 templates below, values from hashes of a running number); callers with reviewed findings of their own pass those. The
@@ -12,7 +12,7 @@ training table is the bounded part (`rows`); the scan reads every whole text.
 Scale. The scan is one pass without shuffle: texts become candidates inside the task that reads them. The
 model is a few hundred kilobytes.
 
-Defined results. Null and empty texts have no candidates; repeated rows each give theirs; a null path says nothing. Findings
+Defined results. Null and empty texts have no candidates; texts of any length are scanned whole; other columns, whatever their names, are not read; an empty table gives an empty result; repeated rows each give theirs; a null path says nothing. Findings
 show the digest and the first four characters, not the value."""
 
 from __future__ import annotations
@@ -50,7 +50,7 @@ DICTIONARY = (
     "utils value version video view widget width window with your"
 ).split()
 
-FEATURES = ["length", "digits", "uppers", "lowers", "symbols", "transitions", "variety", "consonants", "hexadecimal", "dictionary", "near_secret", "near_other", "assigned", "quoted", "path_test", "path_config"]
+FEATURES = ["length", "digits", "uppers", "lowers", "symbols", "transitions", "variety", "consonants", "hexadecimal", "dictionary", "near_secret", "near_other", "assigned", "quoted", "path_test", "path_config", "after_other", "closed"]
 
 
 def candidates(docs: DataFrame, id_col: str, text_col: str, path_col: str | None = None) -> DataFrame:
@@ -88,7 +88,8 @@ def _share(value: Column, pattern: str) -> Column:
 
 
 def add_features(found: DataFrame) -> DataFrame:
-    """found: value, path, and before or (as candidates gives it) context."""
+    """found: value, after, path, and before or (as candidates gives it) context."""
+    after = F.lower(F.coalesce(F.col("after"), F.lit("")))
     value, before, path = F.col("value"), F.lower(F.coalesce(F.col("context" if "context" in found.columns else "before"), F.lit(""))), F.lower(F.coalesce(F.col("path"), F.lit("")))
     classes = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(value, "[^A-Za-z0-9]", "-"), "[a-z]", "a"), "[A-Z]", "A"), "[0-9]", "0")
     words = "|".join(sorted(set(DICTIONARY), key=lambda w: (-len(w), w)))
@@ -100,7 +101,7 @@ def add_features(found: DataFrame) -> DataFrame:
             "lowers": _share(value, "[a-z]"),
             "symbols": _share(value, "[^A-Za-z0-9]"),
             "transitions": F.length(F.regexp_replace(classes, r"(.)\1+", "$1")) / F.length(value),
-            "variety": F.size(F.array_distinct(F.split(F.left(value, F.lit(64)), ""))) / F.least(F.length(value), F.lit(64)),
+            "variety": F.size(F.array_distinct(F.split(value, ""))) / F.least(F.length(value), F.lit(64)),
             "consonants": _share(F.lower(value), "[b-df-hj-np-tv-z]{3,}"),
             "hexadecimal": value.rlike("^([0-9a-f]+|[0-9A-F]+)$").cast("double"),
             "dictionary": 1 - F.length(F.regexp_replace(F.lower(value), words, "")) / F.length(value),
@@ -110,13 +111,18 @@ def add_features(found: DataFrame) -> DataFrame:
             "quoted": before.rlike("[\"'`]$").cast("double"),
             "path_test": path.rlike(r"(test|example|sample|fixture|mock|demo|doc|readme)").cast("double"),
             "path_config": path.rlike(r"(\.env|config|setting|deploy|secret|credential|\.ya?ml|\.ini|\.tf)").cast("double"),
+            "after_other": after.rlike(r"^[^\n]*?" + OTHER_WORDS).cast("double"),
+            "closed": after.rlike("^[\"'`]").cast("double"),
         }
     )
 
 
-def labelled_findings(spark: SparkSession, rows: int = 6000, seed: int = 3) -> DataFrame:
-    """(value, before, after, path, label): labelled findings, the same for the same arguments."""
-    pick = lambda salt, options: F.element_at(F.array(*[F.lit(o) for o in options]), (F.pmod(F.xxhash64("id", F.lit(seed), F.lit(salt)), F.lit(len(options))) + 1).cast("int"))
+def labelled_findings(spark: SparkSession, rows: int = 6000, seed: int = 3, part: int | None = None) -> DataFrame:
+    """(value, before, after, path, label): labelled findings, the same for the same arguments on any cluster.
+
+    part: 0 or 1 for one half of the templates, names and words only, which the other half does not have."""
+    half = lambda options: options if part is None else options[part::2]
+    pick = lambda salt, options: F.element_at(F.array(*[F.lit(o) for o in half(options)]), (F.pmod(F.xxhash64("id", F.lit(seed), F.lit(salt)), F.lit(len(half(options)))) + 1).cast("int"))
     hexed = lambda salt: F.sha2(F.concat_ws(":", F.lit(seed), F.lit(salt), "id"), 256)
     coded = F.regexp_replace(F.base64(F.unhex(hexed("b"))), "[=]", "")
     word = lambda salt: pick(salt, sorted(set(DICTIONARY)))
@@ -132,7 +138,10 @@ def labelled_findings(spark: SparkSession, rows: int = 6000, seed: int = 3) -> D
     plain_path = pick("f", [None, None, "src/main.py", "app/models/user.rb", "config/prod.yaml", ".env", "deploy/settings.ini", "notes.txt"])
     test_path = pick("t", ["tests/test_login.py", "docs/example.md", "spec/fixtures/keys.yml", "examples/demo.py", "README.md"])
     hex40, hex32, b64, mixed = F.substring(hexed("h"), 1, 40), F.substring(hexed("g"), 1, 32), F.substring(coded, 1, 40), F.substring(F.regexp_replace(coded, "[+/]", "x"), 1, 24)
-    kinds = [  # (value, before, path, label)
+    ends = pick("e", ["\n", " ", "", ";", ",", ", "])
+    behind = pick("v", [" is the commit", "  checksum ok", " (sha256 of the image)", " release.tar.gz: sha1", " md5 of the file", ", the digest", " order no.", " build id"])
+    kinds = [  # (value, before, path, label, after: as the assignment closes it, if it is not given)
+        (hex40, prose, plain_path, 0, behind), (hexed("i"), prose, plain_path, 0, behind),
         (hex40, keyed, plain_path, 1), (F.upper(hex40), keyed, plain_path, 1), (hex32, keyed, plain_path, 1), (b64, keyed, plain_path, 1), (mixed, keyed, plain_path, 1), (hexed("i"), keyed, plain_path, 1),
         (F.concat(F.lit("AKIA"), F.upper(F.substring(mixed, 1, 16))), F.coalesce(keyed, prose), plain_path, 1), (F.concat(F.lit("ghp_"), F.substring(F.regexp_replace(coded, "[+/]", "q"), 1, 36)), prose, plain_path, 1),
         (F.concat(F.lit("sk_live_"), mixed), prose, plain_path, 1),
@@ -143,10 +152,15 @@ def labelled_findings(spark: SparkSession, rows: int = 6000, seed: int = 3) -> D
         (F.concat(F.lit("0000000000000000"), F.substring(digits, 1, 4)), keyed, plain_path, 0), (hex40, keyed, test_path, 0), (mixed, keyed, test_path, 0), (hex40, prose, plain_path, 0),
         (F.substring(mixed, 1, 10), keyed, plain_path, 1), (F.concat(odd("m"), odd("n"), F.substring(digits, 9, 2), pick("c", ["!", "@", "#", "$", "-", ".", "!x", "-abc"]), F.substring(digits, 12, 2)), keyed, plain_path, 1),
         (word("4"), keyed, plain_path, 0), (F.concat(odd("k"), odd("l")), keyed, plain_path, 0), (F.substring(mixed, 1, 10), keyed, test_path, 0),
+        (F.concat(word("5"), F.substring(digits, 7, 1), pick("g", ["-", "_", "!", "#", ".", "@"]), F.substring(hexed("f"), 1, 4)), keyed, plain_path, 1),
     ]
-    made = spark.range(rows).withColumn("kind", F.col("id") % len(kinds))
+    kinds = half(kinds)
+    made = spark.range(0, rows, 1, 8).withColumn("kind", F.col("id") % len(kinds))  # a fixed number of partitions, which the forest's samples depend on
     choose = lambda k: F.coalesce(*[F.when(F.col("kind") == i, x[k] if isinstance(x[k], Column) else F.lit(x[k])) for i, x in enumerate(kinds)])
-    return made.select(choose(0).alias("value"), choose(1).alias("before"), pick("e", ['"', "'", "\n", " ", "", ";"]).alias("after"), choose(2).alias("path"), choose(3).cast("double").alias("label"))
+    told = F.coalesce(*[F.when(F.col("kind") == i, x[4]) for i, x in enumerate(kinds) if len(x) > 4], F.lit(None).cast("string"))
+    made = made.select("id", choose(0).alias("value"), choose(1).alias("before"), told.alias("told"), choose(2).alias("path"), choose(3).cast("double").alias("label"))
+    closing = F.concat(F.when(F.col("before").rlike("\"$"), F.lit('"')).when(F.col("before").rlike("'$"), F.lit("'")).otherwise(F.lit("")), ends)
+    return made.select("value", "before", F.coalesce("told", closing).alias("after"), "path", "label")
 
 
 def train_forest(labelled: DataFrame, trees: int = 24, depth: int = 9, seed: int = 17) -> RandomForestClassificationModel:

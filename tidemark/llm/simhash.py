@@ -25,7 +25,7 @@ chunks and each pair of chunks is a cell of its own, so no task holds more than
 Components. Large-star and small-star steps over the spanning links until nothing changes, each step written to the
 shared folder. Documents join their fingerprint's component with hot fingerprints spread.
 
-Defined results. Null and empty texts have fingerprint zero, linked like any other. Repeated rows come back as often as
+Defined results. Null and empty texts have fingerprint zero, linked like any other. Texts of any length count whole. Other columns, whatever their names, are not read (`drop_near_duplicates` returns them). Repeated rows come back as often as
 they are. A null id counts as larger than any other when the smallest id is taken. Empty table: empty result."""
 
 from __future__ import annotations
@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lookup_join, materialize, without
+from .common import lookup_join, materialize, quoted, row_key, taken_apart, whole_rows
 
 #: Node pairs with at most this many leaf pairs are compared directly.
 LEAF_PAIRS = 32
@@ -452,8 +452,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, cell_rows: int = 200_000, set_bytes: int = 8 << 20) -> DataFrame:
-    """One document of each component stays: the one with the smallest id. Rows that share an id stay or go together."""
+    """One document of each component stays: the one with the smallest id (of rows that share it, those that share the text too).
+
+    Rows are dealt by id and text to meet the list of those that go; the same plan at any size."""
     found = materialize(_similar(docs, id_col, text_col, shingle, similarity, cell_rows, set_bytes), "simhash-result")
-    stays = F.col("id.id").eqNullSafe(F.col("component_id.id"))
-    going = found.groupBy("id.id").agg(F.bool_or(stays).alias("stays")).where("not stays").select(F.col("id").alias("_id"))
-    return without(docs, going, F.col(id_col).eqNullSafe(F.col("_id")))
+    going = found.where("id <> component_id").select(row_key(F.col("id.id"), F.col("id.text")).alias("key")).distinct()
+    rows = whole_rows(docs, key=row_key(quoted(id_col), F.xxhash64(quoted(text_col))))
+    return taken_apart(rows.join(materialize(going, "simhash-going").hint("shuffle_hash"), "key", "left_anti"), docs.columns)

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import map_batches, materialize
 from .packing import LETTERS, WordHasher, lower_bytes, ranges
 
 WORD = re.compile(r"[^\W\d_]+")
@@ -286,7 +286,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
                 part = batch.slice(at, TEXTS)
                 yield part.filter(pa.array([s < threshold for s, _ in model.scores(hasher, part.column(at_text).to_pylist())], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_batches(docs, run)
 
 
 def training_fold(id_col: str = "doc_id"):

@@ -13,9 +13,10 @@ the longer host; then block before allow; then the smaller rule text).
 
 Scale. Distinct URLs are judged, so a URL that fills a third of the table is judged once. Keys are dealt by top label (by rule
 host in the second sweep) and a hash of the URL, so one host may hold most URLs; rules are repeated once for each salt.
-The rule list is given as Python values or as a table; its size is checked against `max_rules`.
+The rule list is a table of any number of rules, which is never gathered anywhere; the salts follow the number of URLs to a rule, so
+that rules, repeated for each salt, never outweigh the URLs by much.
 
-Defined results. A null URL, or one without ://, has empty host and path and meets no rule; then the default verdict
+Defined results. Columns of pages may have any names. URLs of any length are judged whole. A null URL, or one without ://, has empty host and path and meets no rule; then the default verdict
 holds. Repeated rows each get their verdict. Empty table or empty rule list: no row, or the default for all."""
 
 from __future__ import annotations
@@ -25,11 +26,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import lookup_join, lower_ascii, materialize
-
-#: Rules beyond this number need another operator: each is kept once per salt while sorting.
-MAX_RULES = 5_000_000
-
+from .common import lookup_join, lower_ascii, materialize, quoted, taken_apart, whole_rows
 
 def host_of(url: Column) -> Column:
     rest = F.when(F.instr(url, "://") > 0, F.expr("substring(url, instr(url, '://') + 3)"))
@@ -74,17 +71,17 @@ def _sweep(keys: DataFrame, stacks: DataFrame, by: str, key: str, salts: int) ->
 
 def judge_urls(
     pages: DataFrame, rules: DataFrame, url_col: str = "url", default: str = "allow", id_col: str = "page_id",
-    salts: int | None = None, max_rules: int = MAX_RULES,
+    salts: int | None = None,
 ) -> DataFrame:
-    """All columns of pages with url_host, url_path, url_rule and url_verdict. id_col only deals the rows of hot URLs."""
+    """All columns of pages with url_host, url_path, url_rule and url_verdict (which replace columns of these names). id_col only deals the rows of hot URLs."""
     spark = pages.sparkSession
-    salts = salts or max(16, int(spark.conf.get("spark.sql.shuffle.partitions")))
     rules = materialize(rules.select("verdict", lower_ascii(F.col("host")).alias("host"), F.coalesce("path", F.lit("")).alias("path")).where("host is not null").distinct(), "url-rules")
-    if (n := rules.count()) > max_rules:
-        raise ValueError(f"{n} rules; the operator takes {max_rules}")
     keyed = rules.withColumn("rule_key", host_key(F.col("host"))).withColumn("top", F.substring_index("rule_key", ".", 1))
-    urls = pages.groupBy(F.col(url_col).alias("url")).agg(F.count("*").alias("n_rows"))
+    urls = pages.groupBy(quoted(url_col).alias("url")).agg(F.count("*").alias("n_rows"))
     urls = materialize(urls.withColumn("host", host_of(F.col("url"))).withColumn("path", path_of(F.col("url"))), "url-distinct")
+    if salts is None:  # about a million URLs to a salt, but no more repeated rules than URLs
+        n_urls = urls.count()
+        salts = max(1, min(max(int(spark.conf.get("spark.sql.shuffle.partitions")), n_urls // 1_000_000), n_urls // max(1, rules.count())))
     keys = urls.where("host <> ''").select(F.col("url"), F.col("path"), host_key(F.col("host")).alias("rule_key")).withColumn("top", F.substring_index("rule_key", ".", 1))
     hosts = _sweep(keys, _stacks(keyed, "top", "rule_key"), "top", "rule_key", salts)
     paths = hosts.where(F.size("active") > 0).select("url", "path", F.explode("active").alias("rule_key"))
@@ -99,5 +96,7 @@ def judge_urls(
     )
     total = urls.agg(F.coalesce(F.sum("n_rows"), F.lit(0))).first()[0]
     judged = materialize(judged, "url-verdicts")
-    joined = lookup_join(pages.withColumn("_url", F.col(url_col)), judged.where("_url is not null"), "_url", "_rows", total, [id_col], "left").drop("_url", "_rows")
-    return joined.withColumns({"url_host": F.coalesce("url_host", F.lit("")), "url_path": F.coalesce("url_path", F.lit("")), "url_verdict": F.coalesce("url_verdict", F.lit(default))})
+    rows = whole_rows(pages, _url=quoted(url_col), _deal=quoted(id_col))
+    joined = lookup_join(rows, judged.where("_url is not null"), "_url", "_rows", total, ["_deal"], "left")
+    found = {"url_host": F.coalesce("url_host", F.lit("")), "url_path": F.coalesce("url_path", F.lit("")), "url_rule": F.col("url_rule"), "url_verdict": F.coalesce("url_verdict", F.lit(default))}
+    return taken_apart(joined, pages.columns, **found)

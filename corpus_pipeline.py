@@ -8,7 +8,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm.common import materialize, table
+from tidemark.llm.common import discard, materialize, table
 from tidemark.llm.decontaminate import drop_contaminated
 from tidemark.llm.exact_dedup import drop_exact_duplicates
 from tidemark.llm.mixing import take_mix
@@ -49,12 +49,15 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("mix", mix),
 ]
 
-#: SQL has no XXH64, SVD or nearest neighbours: the pipeline is tested stage by stage against brute force.
+#: SQL has no XXH64, SVD or nearest neighbours; the tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, written = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if written is not None:
+            discard(written)  # nothing reads it again
+        written = docs
     return docs

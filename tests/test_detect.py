@@ -136,3 +136,19 @@ def test_table_schema(spark):
     with pytest.raises(SchemaError):
         table.bin(other)
     assert table.validate(people(spark, BASE).select("kids", "member", "age", "`home town`")).valid
+
+
+@pytest.mark.parametrize("kind", ["continuous", "categorical"])
+def test_the_candidate_is_scanned_once(spark, tmp_path, kind):
+    """Sizes and bins come from one aggregation: the executed plan has one scan, and reads its exchange again."""
+    path = str(tmp_path / "candidate")
+    spark.range(2000).selectExpr("if(id % 9 = 0, null, cast(id AS double)) AS x", "if(id % 7 = 0, null, cast(id % 5 AS string)) AS w").write.parquet(path)
+    column = "x" if kind == "continuous" else "w"
+    candidate = spark.read.parquet(path)
+    model = D.ContinuousDrift if kind == "continuous" else D.CategoricalDrift
+    rows = model.fit(spark.read.parquet(path), column).drift(candidate, column)
+    assert rows.count() == len(rows.collect()) > 5
+    rows.collect()
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    final = plan[plan.index("== Final Plan ==") : plan.index("== Initial Plan ==")]
+    assert final.count("FileScan parquet") == 1, final

@@ -26,7 +26,7 @@ def test_every_query_has_sql():
     assert set(QUERIES) == set(ORACLE)
 
 
-@pytest.mark.parametrize("name", ["cont_multi_fd", "cont_float32", "cat_multi", "null_cat_multi", "table_drift_nulls", "contract_state", "stream_flush_window", "stream_decay", "bin_counts_table", "profile_continuous"])
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, sql, name):
     df = QUERIES[name](spark, DIR)
     names = sorted(df.columns)

@@ -18,6 +18,14 @@ from ..sources.schema import class_of
 LOCAL_VALUES = 100_000
 
 
+#: Keys of nulls in candidate histograms.
+NULL_BIN, NULL_KEY = -1, "n"
+
+
+def text_key(value: Column) -> Column:
+    return F.coalesce(F.concat(F.lit("v"), value.cast("string")), F.lit(NULL_KEY))
+
+
 def quoted(column: str) -> Column:
     return F.col("`" + column.replace("`", "``") + "`")
 
@@ -71,12 +79,18 @@ class ContinuousBaseline:
         return spark.createDataFrame(list(enumerate(self.baseline_hist)), "bin int, bl double")
 
     def candidate_histogram(self, df: DataFrame, column: str) -> DataFrame:
-        """(bin, rt) with a row for each bin that has rows; the null bin counts nulls. Combined map-side."""
-        return df.groupBy(self.key(quoted(column)).alias("bin")).agg(F.count("*").cast("double").alias("rt"))
+        """(bin, rt) with a row for each bin that has rows; bin -1 counts nulls. Combined map-side.
+
+        The key is never null, so no filter on nulls is pushed below the aggregation and all readers share one scan."""
+        return df.groupBy(F.coalesce(self.key(quoted(column)), F.lit(NULL_BIN)).alias("bin")).agg(F.count("*").cast("double").alias("rt"))
+
+    @staticmethod
+    def is_null_key(candidate: DataFrame) -> Column:
+        return candidate["bin"] == NULL_BIN
 
     def paired(self, candidate: DataFrame, spark: SparkSession) -> DataFrame:
         """(bin, bl, rt) for all bins."""
-        return self.histogram(spark).join(candidate.where("bin IS NOT NULL"), "bin", "left").fillna(0.0, ["rt"])
+        return self.histogram(spark).join(candidate, "bin", "left").fillna(0.0, ["rt"])
 
     def profile(self, spark: SparkSession) -> DataFrame:
         """(bin, low, high, n): the outer bins are open."""
@@ -139,15 +153,22 @@ class CategoricalBaseline:
         return F.broadcast(known)  # LOCAL_VALUES rows at most
 
     def candidate_histogram(self, df: DataFrame, column: str) -> DataFrame:
-        """(value, rt) per value of the candidate, null included. Combined map-side, before any join."""
-        return df.groupBy(quoted(column).alias("value")).agg(F.count("*").cast("double").alias("rt"))
+        """(key, rt) per value of the candidate: the value as text behind a v, or n for null. Combined map-side, before any join.
+
+        The key is never null, so no filter on nulls is pushed below the aggregation and all readers share one scan."""
+        return df.groupBy(text_key(quoted(column)).alias("key")).agg(F.count("*").cast("double").alias("rt"))
+
+    @staticmethod
+    def is_null_key(candidate: DataFrame) -> Column:
+        return candidate["key"] == NULL_KEY
 
     def paired(self, candidate: DataFrame, spark: SparkSession) -> DataFrame:
         """(value, bl, rt) for all known values and one row (null, 0, unknown values) for the other bin."""
         known = self.vocabulary(spark)
-        runtime = candidate.where(F.col("value").isNotNull())
-        matched = runtime.join(known.select(F.col("value").alias("known_value")), F.col("value") == F.col("known_value"), "left")
-        folded = matched.groupBy(F.col("known_value").alias("value")).agg(F.sum("rt").alias("rt"))
+        named = known.select(F.col("value").alias("known_value"), text_key(F.col("value")).alias("known_key"))
+        named = F.broadcast(named) if self.counts is None else named  # LOCAL_VALUES rows at most
+        matched = candidate.join(named, F.col("key") == F.col("known_key"), "left")
+        folded = matched.groupBy(F.col("known_value").alias("value")).agg(F.sum(F.when(F.col("key") == NULL_KEY, 0.0).otherwise(F.col("rt"))).alias("rt"))
         bins = known.unionByName(spark.createDataFrame([(None, 0.0)], T.StructType([T.StructField("value", self.value_type), T.StructField("bl", T.DoubleType())])))
         return bins.join(folded.withColumnRenamed("value", "rt_value"), F.col("value").eqNullSafe(F.col("rt_value")), "left").select("value", "bl", F.coalesce("rt", F.lit(0.0)).alias("rt"))
 

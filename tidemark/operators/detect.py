@@ -32,6 +32,12 @@ class _Detector:
             df = df.select(F.when(~F.isnan(quoted(column)), quoted(column)).alias(column))
         return self.baseline.candidate_histogram(df.select(quoted(column).alias(column)), column)
 
+    def _sizes(self, hist: DataFrame) -> DataFrame:
+        """(rt_n, rt_nulls)."""
+        null = self.baseline.is_null_key(hist)
+        total = lambda which: F.coalesce(F.sum(F.when(which, F.col("rt"))), F.lit(0.0))
+        return hist.agg(total(~null).alias("rt_n"), total(null).alias("rt_nulls"))
+
     def drift(self, df: DataFrame, column: str, metrics: Sequence[Named] | None = None) -> DataFrame:
         """Lazy: (position, metric, drift_magnitude, null_percentage), a row per metric asked for.
 
@@ -40,9 +46,7 @@ class _Detector:
         metrics = list(metrics or metrics_of(self.baseline.column_class))
         spark, b = df.sparkSession, self.baseline
         hist = self._candidate(df, column)
-        bin_name = hist.columns[0]
-        sizes = hist.agg(F.coalesce(F.sum(F.when(F.col(bin_name).isNotNull(), F.col("rt"))), F.lit(0.0)).alias("rt_n"), F.coalesce(F.sum(F.when(F.col(bin_name).isNull(), F.col("rt"))), F.lit(0.0)).alias("rt_nulls"))
-        pairs = b.paired(hist, spark).crossJoin(F.broadcast(sizes))  # one row
+        pairs = b.paired(hist, spark).crossJoin(F.broadcast(self._sizes(hist)))  # one row, from the same exchange
         pairs = pairs.withColumn("bl_n", F.lit(b.sample_size - b.null_count))
         rows = drift_rows(pairs.withColumn("null_percentage", F.try_divide("rt_nulls", F.col("rt_n") + F.col("rt_nulls"))), b.column_class, metrics, ["null_percentage"])
         return rows.select("position", "metric", "drift_magnitude", "null_percentage")
@@ -97,6 +101,11 @@ def compute_drift_nullable_categorical_distribution(baseline: DataFrame, candida
     return [v for _, v in found], nulls
 
 
+#: Every aggregation runs in parallel, so the forms that ask for it are the plain ones.
+compute_drift_categorical_distribution_par = compute_drift_categorical_distribution
+compute_drift_nullable_categorical_distribution_par = compute_drift_nullable_categorical_distribution
+
+
 def bin_dataset(df: DataFrame, column: str, edges: Sequence[float]) -> DataFrame:
     """(bin, n) with the given edges, empty bins included."""
     counts = df.groupBy(bin_of(quoted(column), edges).alias("bin")).agg(F.count("*").cast("double").alias("n"))
@@ -110,5 +119,3 @@ def approximate_dataset(df: DataFrame, column: str, quantile_type: QuantileType
     data = df.select(quoted(column).alias("value"))
     summary = summarise(data, "value", quantile_type, single)
     return bin_dataset(data, "value", bin_edges(summary.low, summary.high, bin_count(summary, quantile_type), single))
-
-

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -51,8 +52,8 @@ class BaselineTable:
         return CandidateTable(self, spark)
 
     def drift(self, df: DataFrame) -> DataFrame:
-        """Lazy: (column, column_class, metric, drift_magnitude, null_percentage), all metrics of each column's class."""
-        return self.bin(df).drift()
+        """(column, column_class, metric, drift_magnitude, null_percentage), all metrics of each column's class. Counts the candidate; an empty one is an error."""
+        return self.compute_candidate_drift(self.bin(df))
 
     def compute_candidate_drift(self, candidate: CandidateTable) -> DataFrame:
         if candidate.histogram.isEmpty():
@@ -96,7 +97,7 @@ def _fit_categorical(df: DataFrame, names: list[str], types: dict[str, T.DataTyp
             present = df.where(quoted(c).isNotNull()).groupBy(quoted(c).alias("value")).agg(F.count("*").cast("double").alias("bl"))
             out[c] = CategoricalBaseline(None, None, rows, nulls, True, types[c], present)
             continue
-        value_of = {"boolean": lambda k: k == "true", "string": str}.get(types[c].simpleString(), int)
+        value_of = {"boolean": lambda k: k == "true", "string": str, "decimal(20,0)": Decimal}.get(types[c].simpleString(), int)
         if isinstance(types[c], T.BooleanType):
             found[c] = {k: found[c].get(k, 0.0) for k in ("false", "true")}
         by_value = {value_of(k): n for k, n in found[c].items()}
@@ -125,10 +126,17 @@ class CandidateTable:
         keys = {c: (b.key(quoted(c)) if isinstance(b, ContinuousBaseline) else quoted(c)).cast("string") for c, b in self.baseline.columns.items()}
         batch = _long(df, keys).groupBy("column", "key").agg(F.count("*").cast("double").alias("rt"))
         batch = batch if not self.inserted else self.histogram.unionByName(batch).groupBy("column", "key").agg(F.sum("rt").alias("rt"))
-        self.histogram = batch.persist()  # read several times by drift(); a row per column and bin or value
+        former, self.histogram = self.histogram, batch.persist()  # read several times by drift(); a row per column and bin or value
+        if self.inserted:
+            self.histogram.count()  # from now on nothing reads the former one
+            former.unpersist()
         self.inserted += 1
         return self
 
+    def release(self) -> None:
+        """Frees the kept histogram; it is counted again if it is read again."""
+        self.histogram.unpersist()
+
     def get_column(self, name: str) -> DataFrame | None:
         """(key, rt) of a column, or None if the baseline has no such column."""
         return self.histogram.where(F.col("column") == name).select("key", "rt") if name in self.baseline.columns else None

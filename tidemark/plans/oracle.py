@@ -207,6 +207,102 @@ SEGMENT = measured(
 SCHEMA = """SELECT * FROM (VALUES ('invalid_type', 'l_linenumber', 'int', 'string'), ('missing', 'l_linestatus', NULL, NULL),
 ('extra', 'l_discount', NULL, NULL), ('extra', 'l_extendedprice', NULL, NULL), ('extra', 'l_tax', NULL, NULL)) x(kind, "column", expected, found)"""
 
+STREAM_NULL = "CASE WHEN event_id % 11 = 0 THEN NULL ELSE {} END"
+
+
+def stream_cells(kind: str, nulls: bool) -> str:
+    """WITH clause: bins(b, bl), cells(batch, b, n) with b null for nulls, sizes(k, batch, n) with all rows of a batch."""
+    column = "value" if kind == "Continuous" else "event_type"
+    v = STREAM_NULL.format(column) if nulls else column
+    seen = "event_id % 10 < 2" + (" AND event_type <> 'click'" if kind == "Categorical" else "")
+    runtime = f"runtime AS (SELECT (event_id % 8)::INTEGER AS batch, {v} AS v FROM events WHERE event_id % 10 >= 2)"
+    source = f"SELECT {v} AS v FROM events WHERE {seen}"
+    if kind == "Continuous":
+        head = f"""{stats(source)}, {edges("FreedmanDiaconis")}, {runtime}, hb AS ({binned(source)}),
+        bins AS (SELECT g.b, coalesce(hb.n, 0) AS bl, g.nb FROM (SELECT unnest(range(nb)) AS b, nb FROM shape) g LEFT JOIN hb ON hb.bin = g.b),
+        cells AS (SELECT batch, CASE WHEN v IS NOT NULL THEN len(list_filter(l, lambda e: e <= v)) END AS b, count(*)::DOUBLE AS n FROM runtime, es GROUP BY 1, 2)"""
+    else:
+        head = f"""hb AS (SELECT v, count(*)::DOUBLE AS n FROM ({source}) WHERE v IS NOT NULL GROUP BY v), {runtime},
+        placed AS (SELECT v, row_number() OVER (ORDER BY v) - 1 AS b, n FROM hb),
+        bins AS (SELECT b, n AS bl, 0 AS nb FROM placed UNION ALL SELECT count(*), 0, 0 FROM placed),
+        cells AS (SELECT batch, CASE WHEN r.v IS NOT NULL THEN coalesce(p.b, (SELECT count(*) FROM placed)) END AS b, count(*)::DOUBLE AS n FROM runtime r LEFT JOIN placed p ON p.v = r.v GROUP BY 1, 2)"""
+    return f"WITH RECURSIVE {head}, sizes AS (SELECT batch, sum(n) AS n, row_number() OVER (ORDER BY batch) AS k, (SELECT floor(count(*) * 3 / 8.0) FROM runtime) AS size FROM cells GROUP BY batch)"
+
+
+def windowed(kind: str, mode: str, nulls: bool, base: bool = False) -> str:
+    """WITH clause with windows(k, batch, total, nulls) and weighted(k, b, n): each batch's share in the window. base: the window is emptied after four batches.
+
+    A decaying window that is restored empty starts with the fifth batch."""
+    began = "CASE WHEN k > 4 THEN 5 ELSE 1 END" if base else "1"
+    if mode == "decay":
+        share = f"spans AS (SELECT k, batch, {began} AS start FROM sizes), shares AS (SELECT w.k, w.batch, c.batch AS of, pow(pow(0.5, 0.5), w.k - c.k + 1) AS f FROM spans w JOIN sizes c ON c.k BETWEEN w.start AND w.k)"
+    else:
+        if mode == "cadence":
+            spans = "spans AS (SELECT k, batch, 3 * ((k - 1) // 3) + 1 AS start FROM sizes)"
+        else:
+            empty = f"(w.total + 255 >= s.size{' OR s.k = 5' if base else ''})"
+            spans = f"""spans(k, batch, total, start) AS (SELECT k, batch, n, k FROM sizes WHERE k = 1
+            UNION ALL SELECT s.k, s.batch, CASE WHEN {empty} THEN s.n ELSE w.total + s.n END, CASE WHEN {empty} THEN s.k ELSE w.start END FROM spans w JOIN sizes s ON s.k = w.k + 1)"""
+        share = f"{spans}, shares AS (SELECT w.k, w.batch, c.batch AS of, 1.0::DOUBLE AS f FROM spans w JOIN sizes c ON c.k BETWEEN w.start AND w.k)"
+    return f"{stream_cells(kind, nulls)}, {share}, weighted AS (SELECT s.k, s.batch, c.b, sum(c.n * s.f) AS n FROM shares s JOIN cells c ON c.batch = s.of GROUP BY 1, 2, 3)"
+
+
+def stream(kind: str, mode: str, nulls: bool, base: bool = False) -> str:
+    pairs = f"""{windowed(kind, mode, nulls, base)}, pairs AS (SELECT w.batch, w.total, b.b AS bin, b.nb, b.bl, (SELECT sum(bl) FROM bins) AS bl_n, w.rt_n, 0.0 AS np, coalesce(x.n, 0) AS rt
+    FROM (SELECT k, batch, sum(n) AS total, sum(n) FILTER (b IS NOT NULL) AS rt_n FROM weighted GROUP BY 1, 2) w, bins b LEFT JOIN weighted x ON x.k = w.k AND x.b = b.b)"""
+    return f"SELECT batch, round(total, 6) AS total, metric, drift_magnitude FROM ({measured(pairs, kind, None, 'batch, total')})"
+
+
+def null_shares() -> str:
+    parts = [
+        f"SELECT '{kind}' AS kind, '{mode}' AS mode, t AS total, s AS null_percentage FROM ({windowed(kind, mode, True)} SELECT round(sum(n), 6) AS t, round(sum(n) FILTER (b IS NULL) / sum(n), 9) AS s FROM weighted WHERE k = (SELECT max(k) FROM weighted))"
+        for kind in ("Continuous", "Categorical")
+        for mode in ("flush", "decay")
+    ]
+    return " UNION ALL ".join(parts)
+
+
+def single(kind: str) -> str:
+    column = "value" if kind == "Continuous" else "event_type"
+    v, seen = STREAM_NULL.format(column), "event_id % 10 < 2" + (" AND event_type <> 'click'" if kind == "Categorical" else "")
+    bl, rt = f"SELECT {v} AS v FROM events WHERE {seen}", f"SELECT {v} AS v FROM events WHERE event_id < 300"
+    pairs = continuous_pairs(bl, rt) if kind == "Continuous" else categorical_pairs(bl, rt)
+    return f"SELECT 0::INTEGER AS batch, (SELECT count(*) FROM events WHERE event_id < 300)::DOUBLE AS total, metric, drift_magnitude FROM ({measured(pairs, kind)})"
+
+
+def exported(kind: str, nulls: bool) -> str:
+    column = "l_discount" if kind == "Continuous" else "l_returnflag"
+    v = NULLED.format(column) if nulls else column
+    bl, rt = sides(v, "l_returnflag <> 'R'")
+    return measured(continuous_pairs(bl, rt) if kind == "Continuous" else categorical_pairs(bl, rt), kind)
+
+
+NULL_ORDERS = [
+    f"SELECT CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE o_orderpriority END AS v FROM orders WHERE {when}"
+    for when in ("o_orderdate < TIMESTAMP '1998-07-01' AND o_orderpriority <> '1-URGENT'", "o_orderdate >= TIMESTAMP '1998-07-01'")
+]
+UNSIGNED = [
+    f"SELECT 18446744073709551600 + o_orderkey % 7 AS v FROM orders WHERE {when}"
+    for when in ("o_orderdate < TIMESTAMP '1998-07-01' AND o_orderpriority <> '1-URGENT'", "o_orderdate >= TIMESTAMP '1998-07-01' AND o_orderkey % 7 < 5")
+]
+
+LIFE = """WITH n AS (SELECT count(*)::DOUBLE AS n FROM events WHERE event_id % 10 >= 2)
+SELECT step, total, last_flush FROM (SELECT 'new' AS step, 0.0::DOUBLE AS total, 10.0::DOUBLE AS last_flush UNION ALL SELECT 'batch', n, 20.0 FROM n UNION ALL SELECT 'flush', 0, 0 UNION ALL SELECT 'again', n, 10 FROM n
+UNION ALL SELECT 'reset', 0, 0 UNION ALL SELECT 'decay', floor(n / 2), 0 FROM n UNION ALL SELECT 'decay cannot flush', 1, 0)"""
+
+FAULTS = """SELECT * FROM (VALUES ('NaN in a baseline', 'NaNValueError'), ('infinity in a baseline', 'NaNValueError'), ('empty baseline', 'EmptyBaselineData'), ('empty candidate', 'EmptyRuntimeData'),
+('empty candidate table', 'EmptyRuntimeData'), ('an edge too many', 'InvalidDataShape'), ('a value too many', 'InvalidDataShape'), ('no JSON', 'DeserializationError'), ('a field missing', 'DeserializationError'),
+('decay as flush', 'InvalidDriftMode'), ('metric name', 'UnsupportedDriftType'), ('categorical metric name', 'UnsupportedDriftType'), ('rule name', 'UnsupportedDriftType'), ('good names', NULL)) x("case", error)"""
+
+LIMITED = " ".join(f"WHEN '{m}' THEN {1e-6 if m == 'KullbackLeibler' else v}::DOUBLE" for m, v in (LIMITS | {"Hellinger": 0.1}).items())
+
+
+def on_results() -> str:
+    rows = cont(NULLED.format("l_discount"), candidate="l_quantity > 25")
+    return f"""WITH d AS (SELECT metric, np, round(drift_magnitude, 9) - CASE metric {LIMITED} END AS d FROM (SELECT metric, drift_magnitude, null_percentage AS np FROM ({rows})))
+    SELECT metric, CASE WHEN d > 0 THEN round(d, 6) END AS delta, NOT d > 0 AS passed, (SELECT CASE WHEN max(d) <= 0 THEN 'Healthy' WHEN min(d) > 0 THEN 'Unhealthy' ELSE 'PartiallyHealthy' END FROM d) AS state, np <= 0.01 AS nulls_passed FROM d"""
+
+
 PRICE = "l_extendedprice"
 ORACLE: dict[str, str] = {
     "cont_psi": cont(PRICE, metrics=["PopulationStabilityIndex"]),
@@ -259,4 +355,36 @@ ORACLE: dict[str, str] = {
     "stream_decay": f"SELECT batch, round(rt_n, 6) AS total, metric, drift_magnitude FROM ({DECAY})",
     "drift_by_segment": f"SELECT l_returnflag, metric, drift_magnitude FROM ({SEGMENT})",
     "schema_report": SCHEMA,
+    "export_cont": exported("Continuous", False),
+    "export_null_cont": exported("Continuous", True),
+    "export_cat": exported("Categorical", False),
+    "export_null_cat": exported("Categorical", True),
+    "stream_cont_decay": stream("Continuous", "decay", False),
+    "stream_cat_flush": stream("Categorical", "flush", False),
+    "stream_null_cont_flush": stream("Continuous", "flush", True),
+    "stream_null_cont_decay": stream("Continuous", "decay", True),
+    "stream_null_cat_flush": stream("Categorical", "flush", True),
+    "stream_null_cat_decay": stream("Categorical", "decay", True),
+    "stream_null_percentage": null_shares(),
+    "stream_restore_cont": stream("Continuous", "decay", False),
+    "stream_restore_cat": stream("Categorical", "flush", False),
+    "stream_restore_null_cont": stream("Continuous", "flush", True),
+    "stream_restore_null_cat": stream("Categorical", "decay", True),
+    "stream_base_cont": stream("Continuous", "decay", False, True),
+    "stream_base_cat": stream("Categorical", "flush", False, True),
+    "stream_base_null_cont": stream("Continuous", "flush", True, True),
+    "stream_base_null_cat": stream("Categorical", "decay", True, True),
+    "stream_cadence": stream("Continuous", "cadence", False),
+    "stream_single_cont": single("Continuous"),
+    "stream_single_cat": single("Categorical"),
+    "stream_lifecycle": LIFE,
+    "faults": FAULTS,
+    "one_call_continuous": cont(PRICE, "Sturges", candidate="l_quantity > 25"),
+    "one_call_categorical": orders(),
+    "one_call_categorical_par": orders(),
+    "one_call_nullable": measured(categorical_pairs(*NULL_ORDERS), "Categorical"),
+    "candidate_column": f"SELECT {NULLED.format('l_returnflag')} AS key, count(*)::DOUBLE AS rt FROM lineitem WHERE {AFTER} AND l_quantity > 20 GROUP BY 1",
+    "built_contracts": STATE,
+    "contract_on_results": on_results(),
+    "unsigned_labels": measured(categorical_pairs(*UNSIGNED), "Categorical"),
 }

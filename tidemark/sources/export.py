@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import time
+from decimal import Decimal
 from typing import TYPE_CHECKING
 
 from pyspark.sql import SparkSession
@@ -24,7 +25,7 @@ def baseline_data(b: Baseline) -> dict:
         return data | ({"null_count": b.null_count} if b.nullable else {})
     if b.counts is not None:
         raise UnsupportedOperation("a vocabulary of this size is a table: write CategoricalBaseline.counts instead")
-    data = {"baseline_hist": b.baseline_hist, "baseline_values": b.values}
+    data = {"baseline_hist": b.baseline_hist, "baseline_values": [int(v) if isinstance(v, Decimal) else v for v in b.values]}
     return data | ({"total_samples": b.sample_size, "null_samples": b.null_count} if b.nullable else {"sample_size": b.sample_size})
 
 
@@ -36,13 +37,19 @@ def baseline_from(data: dict, value_type: T.DataType | None = None) -> Baseline:
         nullable = "total_samples" in data
         size = data["total_samples"] if nullable else data["sample_size"]
         values = list(data["baseline_values"])
-        return CategoricalBaseline(values, [float(x) for x in data["baseline_hist"]], float(size), float(data.get("null_samples", 0)), nullable, value_type or _type_of(values))
+        value_type = value_type or _type_of(values)
+        values = [Decimal(v) for v in values] if isinstance(value_type, T.DecimalType) else values
+        return CategoricalBaseline(values, [float(x) for x in data["baseline_hist"]], float(size), float(data.get("null_samples", 0)), nullable, value_type)
     except (KeyError, TypeError, ValueError) as e:
         raise DeserializationError(f"no baseline: {e!r}") from e
 
 
 def _type_of(values: list) -> T.DataType:
-    return T.BooleanType() if values and isinstance(values[0], bool) else T.LongType() if values and isinstance(values[0], int) else T.StringType()
+    if values and isinstance(values[0], bool):
+        return T.BooleanType()
+    if values and isinstance(values[0], int):  # the upper half of unsigned 64-bit integers is beyond a long
+        return T.LongType() if max(values) < 1 << 63 else T.DecimalType(20, 0)
+    return T.StringType()
 
 
 def export_baseline(b: Baseline) -> str:

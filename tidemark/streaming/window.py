@@ -6,6 +6,7 @@ from __future__ import annotations
 
 import math
 import time
+from bisect import bisect_right
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
@@ -15,9 +16,11 @@ from pyspark.sql import functions as F
 from ..enums import Named, metrics_of
 from ..errors import EmptyRuntimeData, InvalidDataShape, UnsupportedOperation
 from ..functions.metrics import evaluate
-from ..operators.baseline import CategoricalBaseline, ContinuousBaseline
+from ..operators.baseline import NULL_BIN, CategoricalBaseline, ContinuousBaseline
 from .mode import ExponentialDecay, Flush, StreamMode, require_flush
 
+#: Single values: the clock is read when these bits of the window's total are zero.
+CLOCK_MASK = 255
 #: A batch is let in only if the window could also take this many more values.
 LOOKAHEAD = 255
 
@@ -53,6 +56,7 @@ class StreamingDrift:
     state: StreamState | None = None
     lookahead: int = LOOKAHEAD
     clock: Callable[[], float] = time.time
+    _places: tuple | None = None  # of values in the vocabulary
 
     def __post_init__(self) -> None:
         if isinstance(self.baseline, CategoricalBaseline) and self.baseline.counts is not None:
@@ -69,16 +73,41 @@ class StreamingDrift:
         counts = [0.0] * b.n_bins
         if isinstance(b, ContinuousBaseline):
             rows = {r["bin"]: r["rt"] for r in hist.collect()}
-            nulls = rows.pop(None, 0.0)
+            nulls = rows.pop(NULL_BIN, 0.0)
             for k, n in rows.items():
                 counts[k] += n
             return counts, nulls
-        nulls = hist.where(F.col("value").isNull()).agg(F.coalesce(F.sum("rt"), F.lit(0.0))).first()[0]
-        place = {v: k for k, v in enumerate(b.values)}
-        for r in b.paired(hist, df.sparkSession).collect():
+        nulls, place = 0.0, {v: k for k, v in enumerate(b.values)}
+        sizes = hist.agg(F.coalesce(F.sum(F.when(b.is_null_key(hist), F.col("rt"))), F.lit(0.0)).alias("nulls"))
+        for r in b.paired(hist, df.sparkSession).crossJoin(F.broadcast(sizes)).collect():  # one row, from the same exchange
             counts[len(counts) - 1 if r["value"] is None else place[r["value"]]] += r["rt"]
+            nulls = r["nulls"]
         return counts, nulls
 
+    def place_of(self, value: object) -> int | None:
+        """The bin of a single value; None for null."""
+        b = self.baseline
+        if value is None:
+            return None
+        if isinstance(b, ContinuousBaseline):
+            return 0 if math.isnan(value) else bisect_right(b.bin_edges, value)
+        if self._places is None or self._places[0] is not b:
+            self._places = b, {v: k for k, v in enumerate(b.values)}
+        return self._places[1].get(value, b.n_bins - 1)
+
+    def update_stream(self, value: object) -> None:
+        """Adds a single value, in constant time but for the search of its bin. A full window is emptied before it; the clock is read every 256 values."""
+        s, place = self.state, self.place_of(value)
+        if isinstance(self.mode, Flush) and s.total > 0:
+            full = s.total >= self.mode.size
+            if full or int(s.total) & CLOCK_MASK == 0 and self.clock() - s.last_flush >= self.mode.cadence:
+                s = self.state = s.flushed(self.clock())
+        s.total += 1
+        if place is None:
+            s.nulls += 1
+        else:
+            s.bins[place] += 1
+
     def update_stream_batch(self, df: DataFrame, column: str) -> None:
         counts, nulls = self.batch_counts(df, column)
         if not sum(counts) + nulls:

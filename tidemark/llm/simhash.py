@@ -12,7 +12,7 @@ partition step down together in numpy. Pairs of small nodes are compared directl
 
 Similarity search. Texts that share 0.8 of their shingles differ in about 15 % of the bits, far more than a budget that a trie
 can prune by. For them, parts of 32 bits of a wide fingerprint (each 16 bits in two parts) are searched with tries of their own
-and a budget of 3; a pair that any part brings together is compared on the whole fingerprint. Repeats of a shingle vote once there, so
+and a budget of 3; a pair that any part brings together is compared on the first 128 bits, which stand for the fingerprint, so that no more than they travel with each part. Repeats of a shingle vote once there, so
 that fingerprints follow the sets of shingles. The bits only nominate: their bound is loose, and the members of a group that they make are
 compared by the Jaccard similarity of their shingle sets (each set's rarest part by hash order finds all pairs that can
 reach it). Only pairs that reach it are links. Sets of a few shingles are nominated by shared shingles too. A group of more than `set_bytes` of sets is split into chunks that meet in pairs.
@@ -46,8 +46,8 @@ from .common import lookup_join, materialize, quoted, row_key, taken_apart, whol
 LEAF_PAIRS = 32
 #: Nodes whose members have the same searched bits go through a pivot from this many pairs on.
 PIVOT_PAIRS = 4096
-#: 64-bit words of a wide fingerprint.
-WIDE_WORDS = 5
+#: 64-bit words of a wide fingerprint, and how many of them stand for it once its parts are dealt.
+WIDE_WORDS, KEPT_WORDS = 5, 2
 #: Parts of a wide fingerprint that are searched, as pairs of 16-bit pieces, and how many bits may differ in a part.
 WIDE_PARTS = [(k, k + 1) for k in range(0, 4 * WIDE_WORDS, 2)] + [(k, (k + 3) % (4 * WIDE_WORDS)) for k in range(0, 4 * WIDE_WORDS, 2)]
 PART_BUDGET = 3
@@ -225,8 +225,8 @@ class Forest:
 def near_links(prints: DataFrame, budget: int, words: int = 1, parts: list[tuple[int, ...]] | None = None, differing: int | None = None, cell_rows: int = 200_000) -> DataFrame:
     """(a, b) links between distinct fingerprints (column fp): spanning forests that have all links' components.
 
-    parts: 16-bit pieces of the fingerprint that make up each searched part (by default the whole of one word); each is
-    searched with `budget`. differing: the most bits in which whole fingerprints may differ (the budget if there is one part)."""
+    parts: 16-bit pieces of column `wide`, of `words` words, that make up each searched part (by default the whole of one word, of fp itself); each is
+    searched with `budget`. differing: the most bits in which fingerprints fp may differ (the budget if there is one part)."""
     differing = budget if differing is None else differing
     parts = parts or [tuple(range(4 * words))]
     width, ones = 16 * len(parts[0]), np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -237,7 +237,7 @@ def near_links(prints: DataFrame, budget: int, words: int = 1, parts: list[tuple
         """A row for each band of each part: the part's bits, rotated within its width, at the top of 64 bits."""
         for batch in batches:
             raw = batch.column(0)
-            wide = np.frombuffer(b"".join(raw.to_pylist()), ">u8").reshape(-1, words).astype(np.uint64)
+            wide = np.frombuffer(b"".join(batch.column(1).to_pylist()), ">u8").reshape(-1, words).astype(np.uint64)
             for part, pieces in enumerate(parts):
                 bits = np.zeros(len(wide), np.uint64)
                 for at, piece in enumerate(pieces):
@@ -248,7 +248,7 @@ def near_links(prints: DataFrame, budget: int, words: int = 1, parts: list[tuple
                     band = np.full(len(turned), part * (budget + 1) + k, np.int32)
                     yield pa.RecordBatch.from_arrays([pa.array(band), pa.array(cell), pa.array(turned.view(np.int64)), raw], ["band", "cell", "turned", "fp"])
 
-    turned = prints.select("fp").mapInArrow(deal, "band int, cell int, turned long, fp binary")
+    turned = prints.select("fp", F.col("wide" if "wide" in prints.columns else "fp").alias("wide")).mapInArrow(deal, "band int, cell int, turned long, fp binary")
     crowded = turned.groupBy("band", "cell").count().where(F.col("count") > cell_rows)
     crowded = materialize(crowded.select("band", "cell", F.ceil(F.col("count") / cell_rows).cast("int").alias("chunks")), "simhash-crowded")
     if crowded.isEmpty():
@@ -289,11 +289,11 @@ def near_links(prints: DataFrame, budget: int, words: int = 1, parts: list[tuple
             order = np.argsort(a, kind="stable")  # signed order is not the trie's
             a = a[order]
             raw = mine.column(4).take(pa.array(order)).combine_chunks()
-            wide = np.frombuffer(b"".join(raw.to_pylist()), ">u8").reshape(-1, words).astype(np.uint64)
+            wide = np.frombuffer(b"".join(raw.to_pylist()), ">u8").reshape(len(raw), -1).astype(np.uint64)
             cut = np.concatenate([[0], np.nonzero(np.diff(a >> np.uint64(64 - least)))[0] + 1, [len(a)]])
             cells = np.stack([cut[:-1], cut[1:]], 1)
             forest = Forest(len(a))
-            near = lambda i, j, w=wide: sum(np.bitwise_count(w[i, k] ^ w[j, k]).astype(np.int32) for k in range(words)) <= differing
+            near = lambda i, j, w=wide: sum(np.bitwise_count(w[i, k] ^ w[j, k]).astype(np.int32) for k in range(w.shape[1])) <= differing
             for i, j in trie_pairs(a, cells[cells[:, 1] - cells[:, 0] > 1], least, budget, near, width):
                 forest.join(i, j)
             i, j = forest.links()
@@ -328,7 +328,7 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
 
 def _classed(prints: DataFrame, links: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """(id, fp) with component_id, the smallest id of the fingerprint's component."""
-    distinct = materialize(prints.groupBy("fp").agg(F.min("id").alias("low"), F.count("*").alias("n")), "simhash-distinct")
+    distinct = materialize(prints.groupBy("fp").agg(F.min("id").alias("low"), F.count("*").alias("n"), *[F.min(c).alias(c) for c in ("wide",) if c in prints.columns]), "simhash-distinct")
     roots = components(links(distinct))
     linked = distinct.join(roots, F.col("fp") == F.col("node")).select("root", "low")
     heads = distinct.join(roots.select(F.col("root").alias("fp")).distinct(), "fp", "left_semi").select(F.col("fp").alias("root"), "low")
@@ -336,7 +336,7 @@ def _classed(prints: DataFrame, links: Callable[[DataFrame], DataFrame]) -> Data
     rooted = roots.unionByName(least.select(F.col("root").alias("node"), "root")).join(least, "root").select(F.col("node").alias("fp"), "least")
     classes = materialize(distinct.join(rooted, "fp", "left").select("fp", "n", F.when(F.col("least").isNull(), F.col("low")).otherwise(F.col("least")).alias("component_id")), "simhash-classes")
     total = classes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    return lookup_join(prints, classes, "fp", "n", total, ["id"], "inner")
+    return lookup_join(prints.drop("wide"), classes, "fp", "n", total, ["id"], "inner")
 
 
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, budget: int = 4, cell_rows: int = 200_000) -> DataFrame:
@@ -352,7 +352,7 @@ def wide_fingerprint(shingles: np.ndarray) -> list[int]:
 
 
 def add_shingles(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """(id, fp, shingles): id has the id and the text's hash, nulls last; shingles are distinct hashes in order, 8 bytes each."""
+    """(id, fp, wide, shingles): id has the id and the text's hash, nulls last; fp is the beginning of the wide fingerprint; shingles are distinct hashes in order, 8 bytes each."""
     plain = docs.select(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("text")).alias("id"), F.col(text_col).alias("t"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -361,13 +361,14 @@ def add_shingles(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> D
                 part = batch.slice(at, 256)
                 sets = [np.unique(shingle_hashes(t.as_py(), shingle)) for t in part.column(1)]
                 prints = [np.array(wide_fingerprint(x), ">u8").tobytes() for x in sets]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(prints, pa.binary()), pa.array([x.tobytes() for x in sets], pa.binary())], ["id", "fp", "shingles"])
+                beginnings = [x[: 8 * KEPT_WORDS] for x in prints]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(beginnings, pa.binary()), pa.array(prints, pa.binary()), pa.array([x.tobytes() for x in sets], pa.binary())], ["id", "fp", "wide", "shingles"])
 
-    return plain.mapInArrow(run, f"id {plain.schema['id'].dataType.simpleString()}, fp binary, shingles binary")
+    return plain.mapInArrow(run, f"id {plain.schema['id'].dataType.simpleString()}, fp binary, wide binary, shingles binary")
 
 
-def differing_bits(similarity: float, words: int = WIDE_WORDS) -> int:
-    """Bits in which wide fingerprints may differ: five standard deviations more than those of two equally large sets with this Jaccard similarity.
+def differing_bits(similarity: float, words: int = KEPT_WORDS) -> int:
+    """Bits in which fingerprints of so many words may differ: five standard deviations more than those of two equally large sets with this Jaccard similarity.
 
     Sets of a few shingles differ in more bits than large ones (0.19 against 0.15 of them at 0.8); that is within the bound."""
     p = math.acos(2 * similarity / (1 + similarity)) / math.pi
@@ -438,11 +439,11 @@ def _similar(docs: DataFrame, id_col: str, text_col: str, shingle: int, similari
     prints = materialize(add_shingles(docs, id_col, text_col, shingle), "simhash-wide")
 
     def links(distinct: DataFrame) -> DataFrame:
-        worded = distinct.where(F.col("fp") != F.lit(bytes(8 * WIDE_WORDS)))  # texts without words are like each other only
+        worded = distinct.where(F.col("fp") != F.lit(bytes(8 * KEPT_WORDS)))  # texts without words are like each other only
         nominated = near_links(worded, PART_BUDGET, WIDE_WORDS, WIDE_PARTS, differing_bits(similarity), cell_rows)
         return verified_links(prints, nominated.unionByName(short_links(prints, similarity)), similarity, set_bytes)
 
-    return _classed(prints.select("id", "fp"), links).select("id", "component_id")
+    return _classed(prints.select("id", "fp", "wide"), links).select("id", "component_id")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, cell_rows: int = 200_000, set_bytes: int = 8 << 20) -> DataFrame:

@@ -97,7 +97,7 @@ def plain_added(rows, window=10, support=3):
     for (term, entity, _), texts in first.items():
         together[term, entity] += 1
         around[term, entity] |= texts
-    documents = collections.Counter(t for text in rows for t in set(word.findall(text.lower())))
+    documents = collections.Counter(t for text in rows for t in {x.lower() for x in word.findall(text)})
     told = {}
     for (term, entity), n in together.items():
         if len(around[term, entity]) >= support and len(held[entity]) < len(rows):
@@ -129,6 +129,17 @@ def test_added_spans_against_brute_force(spark):
     assert len(expected) > 60 and {kind for *_, kind in expected} == {"remove", "generalise"} and found == expected
 
 
+def test_terms_that_lower_case_alone_and_in_text_differ(spark):
+    """A capital dotted I becomes two characters, a capital sigma depends on what follows the word."""
+    rows = [f"plain{'abcdef'[k]} text" for k in range(6)]
+    rows += [f"{'uvwxyz'[k]}nearby {name} a@example.com" for k in range(6) for name in ("\u0130zzet", "\u039d\u0399\u039a\u039f\u03a3'\u0391")]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    found = {(r["doc_id"], s["start"], s["end"], s["kind"]) for r in pii.find_pii(df).collect() for s in r["added"]}
+    assert found == plain_added(rows, 10, 3)
+    told = {rows[k][a:b] for k, a, b, _ in found}
+    assert {"\u0130zzet", "\u039d\u0399\u039a\u039f\u03a3"} <= told
+
+
 # ---- chat
 
 

@@ -145,7 +145,7 @@ def _term_documents(docs: DataFrame, text_col: str, terms: DataFrame) -> DataFra
         wanted, known, counts = np.unpackbits(np.frombuffer(packed, np.uint8)).tobytes(), {}, {}
         for batch in batches:
             for value in batch.column(0):
-                for term in set(TERM.findall((value.as_py() or "").lower())):
+                for term in {t.lower() for t in set(TERM.findall(value.as_py() or ""))}:  # as surroundings() takes them: lower-casing a whole text may cut or alter words
                     may = known.get(term)
                     if may is None:
                         if len(known) >= REMEMBERED:

@@ -257,6 +257,37 @@ def test_cosine_search_recall(spark):
     assert wanted > 20 and hit / wanted >= 0.9
 
 
+def test_basis_of_all_passages(spark, monkeypatch):
+    """Of any number of passages, all enter the basis: X'X O by the definition, a word at a time."""
+    rng = random.Random(3)
+    vocabulary = [f"w{k}" for k in range(3000)]
+    texts = [" ".join(rng.choices(vocabulary, k=rng.randint(1, 3))) for _ in range(50_500)]
+    texts += [" ".join(rng.choices(vocabulary[:40] if n % 2 else vocabulary, k=n)) for n in (63, 64, 65, 200, 1001)] + ["the " * 300, "", None]
+    seen, sketch = [], D._sketch
+
+    def spy(packed, idf, omega, *more):
+        seen.append((idf, omega, sketch(packed, idf, omega, *more)))
+        return seen[-1][2]
+
+    monkeypatch.setattr(D, "_sketch", spy)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    D.contaminated(df, spark.createDataFrame([(1, texts[50_500])], "item_id long, text string"))
+    (idf, omega, found), hasher = seen[0], WordHasher(LETTERS)
+    term = {w: int(hasher([w.encode()])[1][0]) % len(idf) for w in [*vocabulary, "the"]}
+    words = [[term[w] for w in (t or "").split()] for t in texts]
+    passages = [x[at : at + 64] for x in words for at in range(0, len(x), 64)]
+    assert len(passages) > 50_000
+    expected, held = np.zeros(omega.shape), np.zeros(len(idf))
+    for p in passages:
+        row = {t: p.count(t) * idf[t] for t in set(p)}
+        held[list(row)] += 1
+        along = sum(v * omega[t] for t, v in row.items()) / sum(v * v for v in row.values())
+        for t, v in row.items():
+            expected[t] += v * along
+    assert np.allclose(idf, np.log((1 + len(passages)) / (1 + held)) + 1e-3)
+    assert np.allclose(found, expected, rtol=1e-4, atol=1e-4 * np.abs(expected).max())
+
+
 def test_paraphrases_against_brute_force(spark):
     """Items with up to 40 % of their words replaced: all that the subsequence and answer checks accept anywhere are found."""
     rng = random.Random(12)

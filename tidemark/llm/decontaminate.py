@@ -14,9 +14,9 @@ of it on both sides, must hold enough of the item's words (an upper bound of the
 of its words, must be there in order too, unless nearly the whole item is. So paraphrases that keep most words in order count,
 texts that only share subject matter do not.
 
-Fit and index. The basis is fitted on a bounded sample of passages (`fit_passages`, chosen by position, spread over
-all groups); document frequencies, windows, candidates and checks cover all texts. Recall of the cosine search against
-brute force is measured in the tests.
+Fit and index. Document frequencies, basis, windows, candidates and checks cover all texts: every passage enters the sketch, by sums over
+its words rather than as a dense row. A caller can bound the passages of the basis by `fit_passages` (by position, spread over all groups); nothing here does.
+Recall of the cosine search against brute force is measured in the tests.
 
 Scale. Texts are split once and written as packed word numbers; the later passes read these, without any shuffle. What
 is sent to executors is the basis (dims x rank floats) and at most `max_items` items with their vectors; a larger benchmark is searched in parts,
@@ -45,6 +45,8 @@ BLOCK, PASSAGE = 8, 64
 #: Words of the window classes.
 CLASSES = (16, 24, 32, 48, 64, 96, 128)
 CHUNK = 1 << 12  # blocks whose vectors are added up at once
+#: Passages sketched at once, and words of a term in them from which a matrix product is cheaper.
+SKETCHED, COMMON = 1 << 11, 64
 
 @dataclass
 class Item:
@@ -241,28 +243,59 @@ def _frequencies(packed: DataFrame, dims: int) -> tuple[np.ndarray, int]:
     return counts[:dims], int(counts[dims])
 
 
+def _add_products(total: np.ndarray, terms: np.ndarray, weighted: np.ndarray, idf: np.ndarray) -> None:
+    """total += X'X O without the outer weights, for passages given as rows of terms; len(idf) stands for no word."""
+    n = len(terms)
+    passage, place = np.nonzero(terms < len(idf))
+    key = np.sort(terms[passage, place] * n + passage)  # words by term
+    at = np.nonzero(np.diff(key, prepend=-1))[0]
+    times = np.diff(np.append(at, len(key)))
+    term, holder = key[at] // n, key[at] % n
+    square = np.bincount(holder, (times * idf[term]) ** 2, minlength=n)
+    vectors = np.zeros((n, weighted.shape[1]), np.float32)
+    for k in range(terms.shape[1]):
+        vectors += weighted.take(terms[:, k], axis=0, mode="clip")
+    vectors /= np.maximum(square, 1e-9)[:, None].astype(np.float32)
+    count = np.bincount(term, times, minlength=len(total)).astype(np.int64)
+    common = np.nonzero(count > COMMON)[0]  # by a matrix product
+    column = np.full(len(total), -1)
+    column[common] = np.arange(len(common))
+    column = column[term]
+    dense = column >= 0
+    matrix = np.zeros((n, len(common)), np.float32)
+    matrix[holder[dense], column[dense]] = times[dense]
+    total[common] += matrix.T @ vectors
+    rest = np.nonzero((count > 0) & (count <= COMMON))[0]  # a word of each at a time
+    rest = rest[np.argsort(-count[rest], kind="stable")]
+    first, count = (np.cumsum(count) - count)[rest], count[rest]
+    sums = np.zeros((len(rest), vectors.shape[1]), np.float32)
+    for k in range(int(count.max(initial=0))):
+        more = int(np.searchsorted(-count, -k))  # so many have more than k
+        sums[:more] += vectors.take(key[first[:more] + k] % n, axis=0, mode="clip")
+    total[rest] += sums
+
+
 def _sketch(packed: DataFrame, idf: np.ndarray, omega: np.ndarray, every: int) -> np.ndarray:
     """Y = X'X O over each `every`-th passage, rows of X of length 1."""
     dims, width = omega.shape
-    weighted = (omega * idf[:, None]).astype(np.float32)
+    weighted = np.vstack([omega * idf[:, None], np.zeros((1, width))]).astype(np.float32)  # the last row stands for no word
     rows_a_piece = 128
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((dims, width), np.float32)
+        total = np.zeros((dims, width))
         for batch in batches:
             for row in batch.to_pylist():
                 group = Packed(row, dims)
                 first = group.passages()[xxhash.xxh64_intdigest(row["group"]) % every :: every]  # spread over groups
-                if not len(first):
-                    continue
-                low = group.block_start[first]
-                size = np.minimum(group.end[group.block_doc[first]] - low, PASSAGE)
-                matrix = np.zeros((len(first), dims), np.float32)
-                np.add.at(matrix, (np.repeat(np.arange(len(first)), size), group.dims[ranges(low, size)]), 1.0)
-                square = ((matrix * idf.astype(np.float32)) ** 2).sum(1, keepdims=True)
-                total += matrix.T @ ((matrix @ weighted) / np.maximum(square, 1e-9))
+                for at in range(0, len(first), SKETCHED):
+                    part = first[at : at + SKETCHED]
+                    low = group.block_start[part]
+                    high = np.minimum(group.end[group.block_doc[part]], low + PASSAGE)
+                    words = low[:, None] + np.arange((high - low).max())
+                    terms = np.where(words < high[:, None], group.dims[np.minimum(words, len(group.dims) - 1)], dims)
+                    _add_products(total, terms, weighted, idf)
         if total.any():
-            pieces = total.reshape(-1, rows_a_piece * width)
+            pieces = total.astype(np.float32).reshape(-1, rows_a_piece * width)
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(pieces)), pa.int64()), pa.array([x.tobytes() for x in pieces], pa.binary())], ["piece", "y"])
 
     def add(pieces: pa.Table) -> pa.Table:
@@ -276,12 +309,12 @@ def _sketch(packed: DataFrame, idf: np.ndarray, omega: np.ndarray, every: int) -
     return y.reshape(dims, width).astype(np.float64) * idf[:, None]
 
 
-def latent_basis(packed: DataFrame, rank: int, dims: int, fit_passages: int, seed: int = 5, frequencies: tuple[np.ndarray, int] | None = None) -> np.ndarray:
-    """dims x rank: inverse document frequency times singular vector over the root of the singular value."""
+def latent_basis(packed: DataFrame, rank: int, dims: int, fit_passages: int | None = None, seed: int = 5, frequencies: tuple[np.ndarray, int] | None = None) -> np.ndarray:
+    """dims x rank: inverse document frequency times singular vector over the root of the singular value. Fitted on all passages, or on about `fit_passages`."""
     frequency, passages = frequencies or _frequencies(packed, dims)
     idf = np.log((1 + passages) / (1 + frequency)) + 1e-3
     omega = np.random.default_rng(seed).standard_normal((dims, rank + 16))
-    y = _sketch(packed, idf, omega, max(1, -(-passages // fit_passages)))
+    y = _sketch(packed, idf, omega, max(1, -(-passages // fit_passages)) if fit_passages else 1)
     core = omega.T @ y
     value, vector = np.linalg.eigh((core + core.T) / 2)
     value = np.maximum(value, max(1e-6 * value.max(), 1e-12))
@@ -384,7 +417,7 @@ class Search:
 
 
 def _searches(
-    packed: DataFrame, benchmark: DataFrame, item_col: str, item_text_col: str, answer_col: str | None, rank: int, dims: int, fit_passages: int, least_lcs: float, min_tokens: int, max_items: int
+    packed: DataFrame, benchmark: DataFrame, item_col: str, item_text_col: str, answer_col: str | None, rank: int, dims: int, fit_passages: int | None, least_lcs: float, min_tokens: int, max_items: int
 ) -> tuple[list[Search], np.ndarray]:
     """The benchmark in parts of about `max_items` items, by the hash of their texts, and the latent basis that all share."""
     rows = benchmark.select(quoted(item_col), quoted(item_text_col).cast("string"), quoted(answer_col).cast("string") if answer_col else F.lit(None).cast("string"))
@@ -405,7 +438,7 @@ def _searches(
 
 def contaminated(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", answer_col: str | None = None,
-    rank: int = 96, dims: int = 1 << 13, fit_passages: int = 50_000, least_cosine: float = 0.55, least_lcs: float = 0.6, min_tokens: int = 8, max_items: int = 20_000,
+    rank: int = 96, dims: int = 1 << 13, fit_passages: int | None = None, least_cosine: float = 0.55, least_lcs: float = 0.6, min_tokens: int = 8, max_items: int = 20_000,
 ) -> DataFrame:
     """One row per document: id, contaminated, items (their ids in order), overlap (the largest share found)."""
     packed = pack_documents(docs, id_col, text_col, "decontaminate-packed", LETTERS, lower_bytes, as_hashes)
@@ -442,7 +475,7 @@ def contaminated(
 
 def drop_contaminated(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", answer_col: str | None = None,
-    rank: int = 96, dims: int = 1 << 13, fit_passages: int = 50_000, least_cosine: float = 0.55, least_lcs: float = 0.6, min_tokens: int = 8, max_items: int = 20_000,
+    rank: int = 96, dims: int = 1 << 13, fit_passages: int | None = None, least_cosine: float = 0.55, least_lcs: float = 0.6, min_tokens: int = 8, max_items: int = 20_000,
 ) -> DataFrame:
     """The documents that hold no benchmark item. Each row is judged by its own text where it lies: no list of ids, no shuffle."""
     packed = pack_documents(docs, id_col, text_col, "decontaminate-packed", LETTERS, lower_bytes, as_hashes)

@@ -5,8 +5,10 @@ import pytest
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tidemark.llm import simhash as S
+from tidemark.llm.common import maybe_among
 
 
 def accept(a, budget):
@@ -181,3 +183,49 @@ def test_recall_at_the_similarity(spark):
     apart = sum(len(c) > 1 for c in classes.values())
     print(f"{len(near)} pairs, {together} found, {apart} classes joined beyond")
     assert apart == 0
+
+
+def test_unrelated_texts_are_not_nominated(spark, monkeypatch):
+    """The bits that are compared are none of those that brought a pair together, so chance does not link texts (some thousands of links here if they overlap and texts of two shingles are among them)."""
+    rng = random.Random(5)
+    rows = [(k, " ".join(f"{rng.getrandbits(32):x}" for _ in range(6 if k % 10 == 0 else 30))) for k in range(20_000)]
+    counts, whole = [], S.components
+    monkeypatch.setattr(S, "components", lambda links: counts.append(links.count()) or whole(links))
+    found = S.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert counts[0] <= 3 and all(r["doc_id"] == r["component_id"] for r in found)
+
+
+def test_large_groups_are_compared_in_passes(spark, monkeypatch):
+    """A group of many chunks is compared in several passes over one table of its sets, and the classes are those of the group in one chunk."""
+    rng = random.Random(6)
+    base = [f"{rng.getrandbits(32):x}" for _ in range(200)]
+    rows = []
+    for k in range(300):
+        words = base.copy()
+        for at in rng.sample(range(200), 6):
+            words[at] = f"{rng.getrandbits(32):x}"
+        rows.append((k, " ".join(words)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    sent, write = [], S.materialize
+
+    def counted(table, label, *more):
+        back = write(table, label, *more)
+        if label == "simhash-sets":
+            sent.append(back.count())
+        if label == "simhash-met":
+            sent.append(label)
+        return back
+
+    classes = sorted(map(tuple, S.near_duplicates(df).collect()))
+    monkeypatch.setattr(S, "materialize", counted)
+    assert sorted(map(tuple, S.near_duplicates(df, set_bytes=20_000).collect())) == classes
+    assert sent[0] <= 300 and sent[1:].count("simhash-met") > 1  # about 24 chunks in more than one pass
+
+
+def test_maybe_among_leaves_no_wanted_row_out(spark):
+    rows, wanted = spark.range(3000).selectExpr("id", "xxhash64(id) AS h"), spark.range(0, 3000, 7).selectExpr("xxhash64(id) AS h")
+    exact = set(range(0, 3000, 7))
+    for bits, most in ((1 << 25, 2), (64, 3000)):
+        found = {r["id"] for r in maybe_among(rows, F.col("h"), wanted, "h", bits).collect()}
+        assert exact <= found and len(found - exact) <= most
+    assert maybe_among(rows, F.col("h"), wanted.limit(0), "h").count() == 0

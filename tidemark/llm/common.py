@@ -7,6 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -104,6 +105,20 @@ def lookup_join(rows: DataFrame, unique: DataFrame, key: str, count: str, total:
     return salted.join(entries, [key, "_salt"], how).drop("_salt")
 
 
+def maybe_among(rows: DataFrame, digest: Column, wanted: DataFrame, column: str, bits: int = 1 << 25) -> DataFrame:
+    """The rows whose 64-bit digest is in a column of `wanted`, and a few others, without moving any row.
+
+    The digests' low bits are marked in a bitmap of fixed size, which is broadcast (4 MB). No wanted row is left out; the share of the others that come
+    along grows with the number of wanted digests, up to all of them, so a join is to follow."""
+    place = F.col(column).bitwiseAND(F.lit(bits - 1))
+    marked = wanted.groupBy(F.shiftright(place, 6).alias("at")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(F.lit(63)).cast("int"))).alias("marks")).toArrow()  # at most bits / 64 rows
+    marks = np.zeros(bits // 64, np.int64)
+    marks[marked.column("at").to_numpy()] = marked.column("marks").to_numpy()
+    table_of_one = rows.sparkSession.createDataFrame(pa.table({"_marks": pa.array([marks], pa.list_(pa.int64()))}))
+    here = digest.bitwiseAND(F.lit(bits - 1))
+    return rows.join(F.broadcast(table_of_one), F.getbit(F.get("_marks", F.shiftright(here, 6).cast("int")), here.bitwiseAND(F.lit(63)).cast("int")) == 1, "left_semi")
+
+
 def quoted(column: str) -> Column:
     return F.col("`" + column.replace("`", "``") + "`")
 

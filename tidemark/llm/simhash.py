@@ -12,10 +12,13 @@ partition step down together in numpy. Pairs of small nodes are compared directl
 
 Similarity search. Texts that share 0.8 of their shingles differ in about 15 % of the bits, far more than a budget that a trie
 can prune by. For them, parts of 32 bits of a wide fingerprint (each 16 bits in two parts) are searched with tries of their own
-and a budget of 3; a pair that any part brings together is compared on the first 128 bits, which stand for the fingerprint, so that no more than they travel with each part. Repeats of a shingle vote once there, so
+and a budget of 3; a pair that any part brings together is compared on 128 further bits, which no part has and which stand for the fingerprint, so that no more than they travel with each part. As they have no
+bit that brought the pair together, unrelated texts pass both with a chance of 3e-10: they stay unlinked up to some billions of texts, where bits shared with the parts would join all texts into one group from a few millions on.
+Repeats of a shingle vote once there, so
 that fingerprints follow the sets of shingles. The bits only nominate: their bound is loose, and the members of a group that they make are
 compared by the Jaccard similarity of their shingle sets (each set's rarest part by hash order finds all pairs that can
-reach it). Only pairs that reach it are links. Sets of a few shingles are nominated by shared shingles too. A group of more than `set_bytes` of sets is split into chunks that meet in pairs.
+reach it). Only pairs that reach it are links. Sets of a few shingles, whose bits are not even, and those that are large enough to be similar to them are nominated by shared shingles. The sets are made from the texts again, of the nominated ones only.
+A group of more than `set_bytes` of sets is split into chunks that meet in pairs, some at a time, so that a pass holds each set at most 2 * OFFSETS - 1 times.
 
 Links. A group of m fingerprints may have m * m / 2 links; only a spanning forest of the links found in a cell leaves
 the task (at most m - 1 links), which has the same components. Members of a crowded node are compared with a pivot
@@ -33,6 +36,7 @@ from __future__ import annotations
 import math
 from array import array
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -40,19 +44,21 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lookup_join, materialize, quoted, row_key, taken_apart, whole_rows
+from .common import discard, lookup_join, materialize, maybe_among, quoted, row_key, taken_apart, whole_rows
 
 #: Node pairs with at most this many leaf pairs are compared directly.
 LEAF_PAIRS = 32
 #: Nodes whose members have the same searched bits go through a pivot from this many pairs on.
 PIVOT_PAIRS = 4096
-#: 64-bit words of a wide fingerprint, and how many of them stand for it once its parts are dealt.
+#: 64-bit words of a wide fingerprint that are searched, and further ones that stand for it.
 WIDE_WORDS, KEPT_WORDS = 5, 2
 #: Parts of a wide fingerprint that are searched, as pairs of 16-bit pieces, and how many bits may differ in a part.
 WIDE_PARTS = [(k, k + 1) for k in range(0, 4 * WIDE_WORDS, 2)] + [(k, (k + 3) % (4 * WIDE_WORDS)) for k in range(0, 4 * WIDE_WORDS, 2)]
 PART_BUDGET = 3
-#: Sets of up to so many shingles, whose bits differ most, are also brought together by their shingles.
+#: Sets of up to so many shingles, whose bits differ most and are mostly zeros if their number is even, are brought together by their shingles instead.
 SHORT = 8
+#: A pass over the large groups takes the meetings of each chunk with itself and those up to so many places on, less one.
+OFFSETS = 4
 
 Near = Callable[[np.ndarray, np.ndarray], np.ndarray]
 
@@ -328,7 +334,7 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
 
 def _classed(prints: DataFrame, links: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """(id, fp) with component_id, the smallest id of the fingerprint's component."""
-    distinct = materialize(prints.groupBy("fp").agg(F.min("id").alias("low"), F.count("*").alias("n"), *[F.min(c).alias(c) for c in ("wide",) if c in prints.columns]), "simhash-distinct")
+    distinct = materialize(prints.groupBy("fp").agg(F.min("id").alias("low"), F.count("*").alias("n"), *[F.min(c).alias(c) for c in ("wide", "bytes") if c in prints.columns]), "simhash-distinct")
     roots = components(links(distinct))
     linked = distinct.join(roots, F.col("fp") == F.col("node")).select("root", "low")
     heads = distinct.join(roots.select(F.col("root").alias("fp")).distinct(), "fp", "left_semi").select(F.col("fp").alias("root"), "low")
@@ -336,7 +342,7 @@ def _classed(prints: DataFrame, links: Callable[[DataFrame], DataFrame]) -> Data
     rooted = roots.unionByName(least.select(F.col("root").alias("node"), "root")).join(least, "root").select(F.col("node").alias("fp"), "least")
     classes = materialize(distinct.join(rooted, "fp", "left").select("fp", "n", F.when(F.col("least").isNull(), F.col("low")).otherwise(F.col("least")).alias("component_id")), "simhash-classes")
     total = classes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    return lookup_join(prints.drop("wide"), classes, "fp", "n", total, ["id"], "inner")
+    return lookup_join(prints.select("id", "fp"), classes, "fp", "n", total, ["id"], "inner")
 
 
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, budget: int = 4, cell_rows: int = 200_000) -> DataFrame:
@@ -346,13 +352,15 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return joined.select(F.col("id").alias(id_col), F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
 
 
-def wide_fingerprint(shingles: np.ndarray) -> list[int]:
-    """WIDE_WORDS words of 64 bits, on which each distinct shingle votes once."""
-    return _mixed(shingles, WIDE_WORDS)
+def wide_fingerprint(shingles: np.ndarray) -> tuple[bytes, bytes]:
+    """(fp, wide): words of 64 bits, big-endian, on which each distinct shingle votes once. The KEPT_WORDS words of fp come after the WIDE_WORDS of wide."""
+    raw = np.array(_mixed(shingles, WIDE_WORDS + KEPT_WORDS), ">u8").tobytes()
+    return raw[8 * WIDE_WORDS :], raw[: 8 * WIDE_WORDS]
 
 
-def add_shingles(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """(id, fp, wide, shingles): id has the id and the text's hash, nulls last; fp is the beginning of the wide fingerprint; shingles are distinct hashes in order, 8 bytes each."""
+def add_wide_fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float) -> DataFrame:
+    """(id, fp, wide, bytes, shingles): id has the id and the text's hash, nulls last; bytes is the size of the set of shingles; shingles are its distinct hashes in order, 8 bytes each, of sets that can be similar to one of SHORT."""
+    longest = math.floor(SHORT / similarity + 1e-9)
     plain = docs.select(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("text")).alias("id"), F.col(text_col).alias("t"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -360,11 +368,24 @@ def add_shingles(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> D
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 sets = [np.unique(shingle_hashes(t.as_py(), shingle)) for t in part.column(1)]
-                prints = [np.array(wide_fingerprint(x), ">u8").tobytes() for x in sets]
-                beginnings = [x[: 8 * KEPT_WORDS] for x in prints]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(beginnings, pa.binary()), pa.array(prints, pa.binary()), pa.array([x.tobytes() for x in sets], pa.binary())], ["id", "fp", "wide", "shingles"])
+                fp, wide = zip(*map(wide_fingerprint, sets), strict=True)
+                short = [x.tobytes() if len(x) <= longest else None for x in sets]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fp, pa.binary()), pa.array(wide, pa.binary()), pa.array([x.nbytes for x in sets], pa.int64()), pa.array(short, pa.binary())], ["id", "fp", "wide", "bytes", "shingles"])
 
-    return plain.mapInArrow(run, f"id {plain.schema['id'].dataType.simpleString()}, fp binary, wide binary, shingles binary")
+    return plain.mapInArrow(run, f"id {plain.schema['id'].dataType.simpleString()}, fp binary, wide binary, bytes long, shingles binary")
+
+
+def shingle_sets(docs: DataFrame, text_col: str, shingle: int, wanted: DataFrame) -> DataFrame:
+    """(fp, shingles) of the texts whose hash is in column `text` of wanted, and of a few others; each fp once. shingles are distinct hashes in order, 8 bytes each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                sets = [np.unique(shingle_hashes(t.as_py(), shingle)) for t in batch.column(0).slice(at, 256)]
+                yield pa.RecordBatch.from_arrays([pa.array([wide_fingerprint(x)[0] for x in sets], pa.binary()), pa.array([x.tobytes() for x in sets], pa.binary())], ["fp", "shingles"])
+
+    plain = maybe_among(docs.select(quoted(text_col).alias("t")), F.xxhash64("t"), wanted, "text")
+    return plain.mapInArrow(run, "fp binary, shingles binary").dropDuplicates(["fp"])
 
 
 def differing_bits(similarity: float, words: int = KEPT_WORDS) -> int:
@@ -405,45 +426,54 @@ def similar_links(sets: list[np.ndarray], similarity: float) -> tuple[np.ndarray
 
 
 def short_links(prints: DataFrame, similarity: float) -> DataFrame:
-    """(a, b) links that nominate all similar pairs of sets of up to SHORT shingles: those that share one of their first (see similar_links)."""
+    """(a, b) links that nominate all similar pairs with a set of up to SHORT shingles: those that share one of their first (see similar_links)."""
     n = F.length("shingles") / 8
-    heads = prints.where((F.length("shingles") > 0) & (n <= SHORT)).select("fp", "shingles", F.explode(F.sequence(F.lit(0), (n - F.ceil(similarity * n - 1e-9)).cast("int"))).alias("k"))
+    heads = prints.where(F.length("shingles") > 0).select("fp", "shingles", F.explode(F.sequence(F.lit(0), (n - F.ceil(similarity * n - 1e-9)).cast("int"))).alias("k"))
     heads = heads.select("fp", F.expr("substring(shingles, 8 * k + 1, 8)").alias("head")).distinct()
     least = heads.groupBy("head").agg(F.min("fp").alias("b"), F.count("*").alias("n"))
     return lookup_join(heads, least, "head", "n", heads.count(), ["fp"], "inner").where("fp <> b").select(F.col("fp").alias("a"), "b")
 
 
-def verified_links(prints: DataFrame, nominated: DataFrame, similarity: float, set_bytes: int = 8 << 20) -> DataFrame:
-    """(a, b) links between fingerprints whose shingle sets are similar, among the components of the nominated links."""
+def verified_links(prints: DataFrame, nominated: DataFrame, sets_of: Callable[[DataFrame], DataFrame], similarity: float, set_bytes: int = 8 << 20) -> DataFrame:
+    """(a, b) links between fingerprints whose shingle sets are similar, among the components of the nominated links. sets_of: see shingle_sets."""
     roots = materialize(components(nominated), "simhash-nominated")
     rooted = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
-    held = prints.groupBy("fp").agg(F.max(F.length("shingles")).alias("bytes"))
-    members = materialize(held.join(rooted, F.col("fp") == F.col("node")).select("fp", "root", "bytes"), "simhash-members")
+    held = prints.groupBy("fp").agg(F.max("bytes").alias("bytes"), F.min("id.text").alias("text"))
+    members = materialize(held.join(rooted, F.col("fp") == F.col("node")).select("fp", "root", "bytes", "text"), "simhash-members")
     groups = members.groupBy("root").agg(F.count("*").alias("n"), F.ceil(F.sum("bytes") / set_bytes).cast("int").alias("chunks"))
     dealt = lookup_join(members.select("fp", "root"), groups, "root", "n", members.count(), ["fp"], "inner")
     dealt = dealt.withColumn("own", F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int"))
-    sets = prints.select("fp", "shingles").join(dealt, "fp").dropDuplicates(["fp"])
-    sets = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    sets = sets.withColumn("pair", F.least("own", "other").cast("long") * F.col("chunks") + F.greatest("own", "other"))
+    sets = materialize(sets_of(members).join(dealt, "fp").select("fp", "root", "chunks", "own", "shingles"), "simhash-sets")
 
     def run(rows: pa.Table) -> pa.Table:
         rows = rows.sort_by("fp")
         i, j = similar_links([np.frombuffer(x, np.uint64) for x in rows.column("shingles").to_pylist()], similarity)
         return pa.table({"a": rows.column("fp").take(pa.array(i)), "b": rows.column("fp").take(pa.array(j))})
 
-    return sets.select("root", "pair", "fp", "shingles").groupBy("root", "pair").applyInArrow(run, "a binary, b binary")
+    def met(low: int) -> DataFrame:
+        """Links between chunks that lie `low` to low + OFFSETS - 1 places apart, in a ring; two chunks lie at most half the ring apart."""
+        apart = F.sequence(F.lit(low), F.least(F.lit(low + OFFSETS - 1), F.floor(F.col("chunks") / 2).cast("int")))
+        others = F.array_distinct(F.flatten(F.transform(apart, lambda o: F.array(F.pmod(F.col("own") + o, F.col("chunks")), F.pmod(F.col("own") - o, F.col("chunks"))))))
+        pairs = sets.where(F.col("chunks") >= 2 * low).withColumn("other", F.explode(others))
+        pairs = pairs.withColumn("pair", F.least("own", "other").cast("long") * F.col("chunks") + F.greatest("own", "other"))
+        return pairs.select("root", "pair", "fp", "shingles").groupBy("root", "pair").applyInArrow(run, "a binary, b binary")
+
+    most = sets.agg(F.coalesce(F.max("chunks"), F.lit(1))).first()[0]
+    found = [materialize(met(low), "simhash-met") for low in range(0, most // 2 + 1, OFFSETS)]  # one after the other: their shuffle files are never there together
+    discard(sets)
+    return reduce(DataFrame.unionByName, found)
 
 
 def _similar(docs: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float, cell_rows: int, set_bytes: int) -> DataFrame:
-    """(id, component_id), both of them structs as add_shingles makes them."""
-    prints = materialize(add_shingles(docs, id_col, text_col, shingle), "simhash-wide")
+    """(id, component_id), both of them structs as add_wide_fingerprints makes them."""
+    prints = materialize(add_wide_fingerprints(docs, id_col, text_col, shingle, similarity), "simhash-wide")
 
     def links(distinct: DataFrame) -> DataFrame:
-        worded = distinct.where(F.col("fp") != F.lit(bytes(8 * KEPT_WORDS)))  # texts without words are like each other only
-        nominated = near_links(worded, PART_BUDGET, WIDE_WORDS, WIDE_PARTS, differing_bits(similarity), cell_rows)
-        return verified_links(prints, nominated.unionByName(short_links(prints, similarity)), similarity, set_bytes)
+        longer = distinct.where(F.col("bytes") > 8 * SHORT)
+        nominated = near_links(longer, PART_BUDGET, WIDE_WORDS, WIDE_PARTS, differing_bits(similarity), cell_rows)
+        return verified_links(prints, nominated.unionByName(short_links(prints, similarity)), lambda members: shingle_sets(docs, text_col, shingle, members), similarity, set_bytes)
 
-    return _classed(prints.select("id", "fp", "wide"), links).select("id", "component_id")
+    return _classed(prints.select("id", "fp", "wide", "bytes"), links).select("id", "component_id")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, cell_rows: int = 200_000, set_bytes: int = 8 << 20) -> DataFrame:

@@ -341,3 +341,28 @@ def test_pipeline_stages(spark):
     last = after["mix"]
     assert set(last) <= set(after["decontaminate"]) and all(0 < r["mix_taken"] <= 3 * r["mix_size"] for r in last.values())
     assert {r["doc_id"] for r in P.run(spark, "/root/testdata/sf0.001").collect()} == set(last) and len(rows) > len(last)
+
+
+@pytest.mark.parametrize("stretch", [7, 1024])
+def test_windows_in_stretches_are_all_windows(monkeypatch, stretch):
+    """Windows made a stretch of blocks at a time are those of sums over each window, for all classes, at the ends of texts and beside empty texts."""
+    monkeypatch.setattr(D, "STRETCH", stretch)
+    monkeypatch.setattr(D, "COSINES", 3 * stretch)
+    rng = np.random.default_rng(3)
+    lengths = np.array([0, 3, 700, 0, 0, 8, 129, 64, 1, 0], np.int32)
+    tokens = rng.integers(0, 1 << 32, lengths.sum(), dtype=np.uint32)
+    group = D.Packed({"ids": range(len(lengths)), "lengths": squeeze(lengths), "tokens": squeeze(tokens)}, 256)
+    basis = rng.standard_normal((256, 12)).astype(np.float32)
+    items = [D.Item(k, tokens[at : at + n], tokens[:0]) for k, (at, n) in enumerate([(3, 16), (90, 23), (200, 32), (300, 48), (711, 60), (400, 90), (711, 128), (5, 15), (40, 16), (60, 16)])]
+    vectors = D.latent_items(items, basis)
+    found = {(k, b, e) for k, begin, end in D.near_windows(group, group.block_sums(basis), items, vectors, 0.3) for b, e in zip(begin.tolist(), end.tolist(), strict=True)}
+    expected = set()
+    for k, item in enumerate(items):
+        step = max(1, item.window // 4 // D.BLOCK) * D.BLOCK
+        for start, stop in zip(group.start.tolist(), group.end.tolist(), strict=True):
+            for b in range(start, stop, step):
+                e = min(b + item.window, stop)
+                v = basis[tokens[b:e] & 255].sum(0)
+                if (b == start or -(-(stop - start) // D.BLOCK) * D.BLOCK > b - start - step + item.window) and v @ vectors[k] >= 0.3 * np.linalg.norm(v):
+                    expected.add((k, b, e))
+    assert found == expected and {k for k, _, _ in found} == set(range(len(items)))

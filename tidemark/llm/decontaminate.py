@@ -45,6 +45,8 @@ BLOCK, PASSAGE = 8, 64
 #: Words of the window classes.
 CLASSES = (16, 24, 32, 48, 64, 96, 128)
 CHUNK = 1 << 12  # blocks whose vectors are added up at once
+#: Blocks whose window sums are made at once, and cosines at once.
+STRETCH, COSINES = 1 << 10, 1 << 22
 #: Passages sketched at once, and words of a term in them from which a matrix product is cheaper.
 SKETCHED, COMMON = 1 << 11, 64
 
@@ -151,15 +153,19 @@ class RareWords:
         every, owner = np.concatenate([np.empty(0, np.uint32), *words]), np.concatenate([np.empty(0, np.int64), *owner]).astype(np.int64)
         order = np.argsort(every, kind="stable")
         self.words, self.first, self.count = np.unique(every[order], return_index=True, return_counts=True)
+        self.some = np.zeros(1 << 18, bool)  # by the low bits of words
+        self.some[self.words & np.uint32(len(self.some) - 1)] = True
         self.owner, self.half = owner[order], np.array([i.window // 2 for i in items], np.int64)
 
     def stretches(self, group: Packed, most: int = 1 << 21) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
         """(item, documents, first words, last words)."""
         if not len(self.words) or not len(group.tokens):
             return
-        place = np.minimum(np.searchsorted(self.words, group.tokens), len(self.words) - 1)
-        at = np.nonzero(self.words[place] == group.tokens)[0]
-        place, doc = place[at], np.searchsorted(group.end, at, side="right")
+        at = np.nonzero(self.some[group.tokens & np.uint32(len(self.some) - 1)])[0]
+        place = np.minimum(np.searchsorted(self.words, group.tokens[at]), len(self.words) - 1)
+        same = self.words[place] == group.tokens[at]
+        at, place = at[same], place[same]
+        doc = np.searchsorted(group.end, at, side="right")
         buckets = int((group.end - group.start).max()) // int(self.half.min()) + 8  # with room behind the last
         made = np.cumsum(self.count[place])
         low = 0
@@ -333,23 +339,50 @@ def latent_items(items: list[Item], basis: np.ndarray) -> np.ndarray:
 
 def candidates(group: Packed, blocks: np.ndarray, items: list[Item], vectors: np.ndarray, least_cosine: float) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(item, first words, last words) of the windows near each item. blocks: running sums of block vectors."""
+    yield from near_windows(group, np.diff(blocks, axis=0).astype(np.float32), items, vectors, least_cosine)
+
+
+def near_windows(group: Packed, blocks: np.ndarray, items: list[Item], vectors: np.ndarray, least_cosine: float) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """As candidates, from the block vectors themselves. Sums of so many blocks are made of smaller ones, for STRETCH rows at a time, which stay in the cache."""
     place = np.arange(group.n_blocks) - group.first_block[group.block_doc]
     doc_end = np.append(group.first_block[1:], group.n_blocks)[group.block_doc]
+    classes = []
     for size in sorted({i.window for i in items}):
         m, step = size // BLOCK, max(1, size // 4 // BLOCK)
         mine = [k for k, i in enumerate(items) if i.window == size]
-        own = vectors[mine].T.copy()
         first = np.nonzero((place % step == 0) & ((place == 0) | (place - step + m < doc_end - group.first_block[group.block_doc])))[0]
-        step_rows = max(64, (1 << 22) // len(mine))  # cosines at once
-        for at in range(0, len(first), step_rows):
-            f = first[at : at + step_rows]
-            stop = np.minimum(f + m, doc_end[f])
-            cosine = unit((blocks[stop] - blocks[f]).astype(np.float32)) @ own
-            w, k = np.nonzero(cosine >= least_cosine)
-            order = np.argsort(k, kind="stable")
-            for j, part in zip(*_runs(k[order], w[order]), strict=True):
-                begin = group.block_start[f[part]]
-                yield mine[j], begin, np.minimum(begin + size, group.end[group.block_doc[f[part]]])
+        classes.append((size, mine, vectors[mine].T.copy(), first, []))
+    room = classes[-1][0] // BLOCK
+    row = np.arange(group.n_blocks) + room * np.cumsum(place == 0)  # empty rows between documents, so that no sum goes beyond one
+    widths = {1}
+    for size, *_ in classes:  # a width is the largest power of two below it and a rest, which is one here, too
+        m = size // BLOCK
+        while m > 1:
+            widths |= {m, *(1 << k for k in range((m - 1).bit_length()))}
+            m -= 1 << (m - 1).bit_length() - 1
+    widths = sorted(widths)
+    sums = {m: np.zeros((STRETCH + room, blocks.shape[1]), np.float32) for m in widths}
+    for low in range(0, int(row[-1]) + 1, STRETCH):
+        b0, b1 = np.searchsorted(row, [low, low + STRETCH + room])
+        sums[1][:] = 0
+        sums[1][row[b0:b1] - low] = blocks[b0:b1]
+        for m in widths[1:]:
+            part = 1 << (m - 1).bit_length() - 1
+            np.add(sums[part][:-part], sums[m - part][part:], out=sums[m][:-part])
+        b1 = np.searchsorted(row, low + STRETCH)
+        for size, mine, own, first, hits in classes:
+            f = first[slice(*np.searchsorted(first, [b0, b1]))]
+            vector = sums[size // BLOCK][row[f] - low]
+            least = least_cosine * np.maximum(np.sqrt(np.einsum("ij,ij->i", vector, vector)), 1e-12)
+            for at in range(0, len(mine), COSINES // STRETCH):
+                w, k = np.divmod(np.flatnonzero(vector @ own[:, at : at + COSINES // STRETCH] >= least[:, None]), min(COSINES // STRETCH, len(mine) - at))
+                hits.append((f[w], k + at))
+    for size, mine, _, _, hits in classes:
+        w, k = (np.concatenate(x) for x in zip(*hits, strict=True))
+        order = np.argsort(k, kind="stable")
+        for j, part in zip(*_runs(k[order], w[order]), strict=True):
+            begin = group.block_start[part]
+            yield mine[j], begin, np.minimum(begin + size, group.end[group.block_doc[part]])
 
 
 def _runs(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -363,9 +396,7 @@ def find_items(group: Packed, items: list[Item], short: ShortItems, vectors: np.
     short.enter(group, found)
     if not group.n_blocks or not items:
         return found
-    blocks = np.zeros((group.n_blocks + 1, basis.shape[1]))
-    np.cumsum(group.block_sums(basis), axis=0, dtype=np.float64, out=blocks[1:])
-    for k, begin, end in candidates(group, blocks, items, vectors, least_cosine):
+    for k, begin, end in near_windows(group, group.block_sums(basis), items, vectors, least_cosine):
         doc = np.searchsorted(group.end, begin, side="right")
         half = items[k].window // 2
         near = np.nonzero(np.diff(doc * (1 << 32) + (begin - group.start[doc]) // half, prepend=-1))[0]  # windows that begin in the same half

@@ -123,6 +123,31 @@ def test_long_chain_is_one_component(spark):
     assert {r["root"] for r in roots} == {0} and len(roots) == 300
 
 
+@pytest.mark.parametrize("task_links", [1 << 20, 300, 20])  # one task, forests of parts first, star steps
+def test_components_are_those_of_the_links_at_any_size(spark, task_links):
+    rng = random.Random(5)
+    nodes = [rng.randbytes(16) for _ in range(400)]
+    links = [(0, k) for k in range(1, 200)] + [(rng.randrange(200, 400), rng.randrange(200, 400)) for _ in range(120)] + [(k, (7 * k) % 200) for k in range(200)]
+    place = sorted(range(400), key=nodes.__getitem__)
+    rank = {k: at for at, k in enumerate(place)}
+    group = components(400, [(rank[i], rank[j]) for i, j in links])
+    expected = {(nodes[place[k]], nodes[place[g]]) for k, g in enumerate(group) if g != k}
+    found = S.components(spark.createDataFrame([(nodes[i], nodes[j]) for i, j in links], "a binary, b binary").repartition(6), task_links=task_links).collect()
+    assert len(found) == len(expected) and {(bytes(r["node"]), bytes(r["root"])) for r in found} == expected
+
+
+def test_components_of_few_links_take_few_tasks(spark):
+    """The driver keeps account of each task: star steps over 211 partitions took it beyond its memory."""
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("few-tasks", "components")
+    try:
+        S.components(spark.range(300).selectExpr("id AS a", "id + 1 AS b"), most_rounds=60).collect()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    stages = [s for j in tracker.getJobIdsForGroup("few-tasks") for s in tracker.getJobInfo(j).stageIds]
+    assert 0 < len(stages) <= 12
+
+
 def shingle_set(text):
     words = text.lower().split()
     return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}

@@ -25,8 +25,8 @@ the task (at most m - 1 links), which has the same components. Members of a crow
 first; those linked to it need not be compared with each other. Cells with more than `cell_rows` fingerprints are split into
 chunks and each pair of chunks is a cell of its own, so no task holds more than two chunks of a cell.
 
-Components. Large-star and small-star steps over the spanning links until nothing changes, each step written to the
-shared folder. Documents join their fingerprint's component with hot fingerprints spread.
+Components. Up to `TASK_LINKS` spanning links are joined by one task; of more, each part leaves a spanning forest first, and if
+too many are left, large-star and small-star steps follow until nothing changes, each step written to the shared folder. Documents join their fingerprint's component with hot fingerprints spread.
 
 Defined results. Null and empty texts have fingerprint zero, linked like any other. Texts of any length count whole. Other columns, whatever their names, are not read (`drop_near_duplicates` returns them). Repeated rows come back as often as
 they are. A null id counts as larger than any other when the smallest id is taken. Empty table: empty result."""
@@ -40,6 +40,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -57,6 +58,8 @@ WIDE_PARTS = [(k, k + 1) for k in range(0, 4 * WIDE_WORDS, 2)] + [(k, (k + 3) %
 PART_BUDGET = 3
 #: Sets of up to so many shingles, whose bits differ most and are mostly zeros if their number is even, are brought together by their shingles instead.
 SHORT = 8
+#: Links up to this many are brought to their components by one task (measured on random links of 16-byte nodes: 290 MB at a million links, 390 at two, the most that a task holds); of more, spanning forests of parts come first.
+TASK_LINKS = 1 << 20
 #: A pass over the large groups takes the meetings of each chunk with itself and those up to so many places on, less one.
 OFFSETS = 4
 
@@ -309,9 +312,52 @@ def near_links(prints: DataFrame, budget: int, words: int = 1, parts: list[tuple
     return dealt.mapInArrow(run, "a binary, b binary")
 
 
-def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """(node, root) for the nodes of undirected links (a, b): alternating large-star and small-star steps."""
+def _forests(links: DataFrame, tasks: int, most: int) -> DataFrame:
+    """(a, b): each task's links as a spanning forest, from each node to the smallest of its tree. A task that never has more than `most` links gives one forest; no task holds more than twice as many and a batch."""
+
+    def spanning(rows: pa.Table) -> pa.Table:
+        nodes = pa.chunked_array([*rows.column(0).chunks, *rows.column(1).chunks], rows.schema.field(0).type).combine_chunks().dictionary_encode()
+        order = pc.sort_indices(nodes.dictionary)
+        place = np.empty(len(order), np.int64)
+        place[order.to_numpy()] = np.arange(len(order))
+        i, j = np.split(place[nodes.indices.to_numpy()], 2)
+        forest = Forest(len(order))
+        forest.join(i, j)
+        return pa.table([nodes.dictionary.take(order.take(pa.array(k))) for k in forest.links()], rows.schema.names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows = [], 0
+        for batch in batches:
+            held.append(pa.Table.from_batches([batch]))
+            rows += batch.num_rows
+            if rows > 2 * most:
+                held = [spanning(pa.concat_tables(held))]
+                rows = held[0].num_rows
+                if rows > most:
+                    yield from held[0].to_batches()
+                    held, rows = [], 0
+        if rows:
+            yield from spanning(pa.concat_tables(held)).to_batches()
+
+    return links.coalesce(tasks).mapInArrow(run, links.schema)
+
+
+def components(links: DataFrame, most_rounds: int = 60, task_links: int = TASK_LINKS) -> DataFrame:
+    """(node, root) for the nodes of undirected links (a, b); root is the smallest of a component.
+
+    Up to task_links links go through one task. More are made fewer by spanning forests of their parts, as long as that takes a quarter of them away; if
+    still more are left, alternating large-star and small-star steps follow. These are some 15 stages a round, whose tasks the driver keeps account of."""
     edges = materialize(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "cc-links")
+    total = edges.count()
+    while total > task_links:
+        former, before = edges, total
+        edges = materialize(_forests(edges, math.ceil(total / task_links), task_links), "cc-forests")
+        discard(former)
+        total = edges.count()
+        if 4 * total > 3 * before:
+            break
+    if total <= task_links:
+        return materialize(_forests(edges, 1, task_links), "cc-roots").toDF("node", "root")
     state = None
     for _ in range(most_rounds):
         total = 2 * edges.count()
@@ -436,7 +482,7 @@ def short_links(prints: DataFrame, similarity: float) -> DataFrame:
 
 def verified_links(prints: DataFrame, nominated: DataFrame, sets_of: Callable[[DataFrame], DataFrame], similarity: float, set_bytes: int = 8 << 20) -> DataFrame:
     """(a, b) links between fingerprints whose shingle sets are similar, among the components of the nominated links. sets_of: see shingle_sets."""
-    roots = materialize(components(nominated), "simhash-nominated")
+    roots = components(nominated)
     rooted = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
     held = prints.groupBy("fp").agg(F.max("bytes").alias("bytes"), F.min("id.text").alias("text"))
     members = materialize(held.join(rooted, F.col("fp") == F.col("node")).select("fp", "root", "bytes", "text"), "simhash-members")
